@@ -74,3 +74,22 @@ def gapless_rank(df: DataFrame, group: str, order: list[Column], bucket: Column,
     ranked = rows.withColumn("_rn", F.row_number().over(inside).cast("long"))
     joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
     return joined.withColumn(name, F.col("_offset") + F.col("_rn") - 1).drop("_bucket", "_g", "_b", "_offset", "_rn")
+
+
+#: Bits of ``probably_in``'s filter: 2 MB in all, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def probably_in(rows: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose long ``column`` may be among the values of the same column of ``keys``.
+
+    A filter of fixed size, ``bits`` bits in at most ``bits`` / 64 words, is broadcast,
+    so most other rows are left behind before a shuffle.  It never loses a row that
+    has a match; as keys outgrow it, more rows without one pass.
+    """
+    h = F.xxhash64(F.lit(0), F.col(column))
+    word, bit = F.pmod(h, F.lit(bits // 64)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    words = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_at")).bitwiseAND(F.lit(1).cast("long")) == 1
+    marked = rows.withColumns({"_w": word, "_at": bit})
+    return marked.join(F.broadcast(words), F.col("_w") == F.col("_word")).where(hit).drop("_w", "_at", "_word", "_bits")
