@@ -47,7 +47,10 @@ def with_shingles(df: DataFrame, text: str, width: int, name: str = "shingles")
     few = F.array(F.xxhash64("_w"))
     many = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get("_w", i + j) for j in range(width))))
     hashed = F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, few).otherwise(many)
-    return df.withColumn(name, F.sort_array(F.array_distinct(hashed))).drop("_w")
+    # An expression that counts as nondeterministic is never copied into filters or joins
+    # above, where it would be evaluated again, words and all, for each shingle.
+    once = F.when(F.monotonically_increasing_id() >= 0, F.sort_array(F.array_distinct(hashed)))
+    return df.withColumn(name, once).drop("_w")
 
 
 def _keys(sketch: Column, n: Column) -> Column:
@@ -69,7 +72,7 @@ class _Corpus:
 
     def __init__(self, texts: DataFrame, width: int, percent: int) -> None:
         self.texts, self.width, self.percent = texts, width, percent
-        sets = with_shingles(texts, "_t", width).where(F.lit(True))
+        sets = with_shingles(texts, "_t", width)
         self.rows = materialize(
             sets.select("_id", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.slice("shingles", 1, K).alias("sketch")),
             "minhash-rows",
@@ -144,8 +147,9 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     y = rest.select("key", F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select("a", "b").distinct()
     more = materialize(corpus.similar(across, sketches), "minhash-pairs")
-    if not more.isEmpty():
-        links = links.union(materialize(corpus.verified(more), "minhash-links"))
+    added = materialize(corpus.verified(more), "minhash-links") if not more.isEmpty() else more
+    if not added.isEmpty():
+        links = links.union(added)
         found = materialize(connected_components(links), "minhash-components")
 
     by_class = corpus.classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
