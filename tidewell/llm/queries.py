@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact, language, pii, secrets, toxicity
+from tidewell.llm import bpe, exact, language, minhash, mixing, pii, secrets, sharding, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
@@ -34,6 +38,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": F.coalesce(held_out, F.lit(False))})
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weighted by the square root of their size, as a mixture that favours small ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.natural_weights(docs, power=0.5))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -41,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": F.coalesce(held_out, F.lit(False))})
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup_near(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_exact(_table(spark, sf_dir, "documents"))
 
@@ -58,10 +72,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
     "op4_pii_scan": op4_pii_scan,
     "op5_language_id": op5_language_id,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
