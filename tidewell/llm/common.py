@@ -54,7 +54,7 @@ def width(spark: SparkSession) -> int:
 
 
 def gapless_rank(df: DataFrame, group: str, order: list[Column], bucket: Column, name: str) -> DataFrame:
-    """Add ``name``: 0, 1, 2 ... within ``group``, without one task per group.
+    """Add ``name``: 0, 1, 2 ... within ``group`` (a column that is not null), without one task per group.
 
     Rows of a group fall into buckets; rows are numbered inside (group, bucket)
     and lifted by the number of rows in lower buckets of the group.  Only the
@@ -72,7 +72,8 @@ def gapless_rank(df: DataFrame, group: str, order: list[Column], bucket: Column,
     )
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
     ranked = rows.withColumn("_rn", F.row_number().over(inside).cast("long"))
-    joined = ranked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
+    # Plain equality: the window's partitioning then serves the join as well.
+    joined = ranked.join(offsets, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
     return joined.withColumn(name, F.col("_offset") + F.col("_rn") - 1).drop("_bucket", "_g", "_b", "_offset", "_rn")
 
 
@@ -87,9 +88,19 @@ def probably_in(rows: DataFrame, keys: DataFrame, column: str, bits: int = FILTE
     so most other rows are left behind before a shuffle.  It never loses a row that
     has a match; as keys outgrow it, more rows without one pass.
     """
+    return _marked(rows, keys, column, bits).where("_hit").drop("_hit")
+
+
+def split_by_filter(rows: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be among ``keys`` as ``probably_in`` has them, and all other rows."""
+    marked = _marked(rows, keys, column, bits)
+    return marked.where("_hit").drop("_hit"), marked.where("NOT _hit").drop("_hit")
+
+
+def _marked(rows: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
     h = F.xxhash64(F.lit(0), F.col(column))
     word, bit = F.pmod(h, F.lit(bits // 64)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
     words = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    hit = F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_at")).bitwiseAND(F.lit(1).cast("long")) == 1
-    marked = rows.withColumns({"_w": word, "_at": bit})
-    return marked.join(F.broadcast(words), F.col("_w") == F.col("_word")).where(hit).drop("_w", "_at", "_word", "_bits")
+    hit = F.call_function("shiftrightunsigned", F.coalesce("_bits", F.lit(0).cast("long")), F.col("_at")).bitwiseAND(F.lit(1).cast("long")) == 1
+    marked = rows.withColumns({"_w": word, "_at": bit}).join(F.broadcast(words), F.col("_w") == F.col("_word"), "left")
+    return marked.withColumn("_hit", hit).drop("_w", "_at", "_word", "_bits")

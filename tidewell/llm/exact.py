@@ -18,13 +18,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, width
+from tidewell.llm.common import materialize, probably_in, split_by_filter, width
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Fingerprints of one message at most; a partition with more sends several.
 CHUNK = 1 << 20
-#: Bits of the filter that keeps most rows that are no suspects from the shuffle: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
 
 
 def normalised(text: Column) -> Column:
@@ -128,19 +126,6 @@ def suspects(fingerprints: DataFrame, owners: int | None = None) -> DataFrame:
     return sent.join(bitmaps, ["owner", "part"]).select("sent", "bitmap").mapInArrow(_flagged, "fp long").distinct()
 
 
-def _near(rows: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Rows that may be among ``flagged`` by ``fp``, through a filter of fixed size.
-
-    The filter has FILTER_BITS bits in words of 64, so it is broadcast with at most
-    FILTER_BITS / 64 rows.  When suspects outgrow it, it lets more rows pass; none is lost.
-    """
-    slot = F.pmod(F.col("fp"), F.lit(FILTER_BITS))
-    words = flagged.select((slot / 64).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(fp, {FILTER_BITS}) % 64 as int))").alias("_bit"))
-    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    hit = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(fp, {FILTER_BITS}) % 64 as int)) & 1L) = 1L")
-    return rows.join(F.broadcast(words), (slot / 64).cast("int") == F.col("_word")).where(hit).drop("_word", "_bits")
-
-
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -154,7 +139,7 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", own
     base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text)).alias("_t"))
     narrow = materialize(base.select("_id", F.xxhash64("_t").alias("fp"), F.sha2("_t", 256).alias("text_sha256")), "exact-fp")
     flagged = materialize(suspects(narrow, owners), "exact-suspects")
-    texts = _near(base.withColumn("fp", F.xxhash64("_t")), flagged)
+    texts = probably_in(base.withColumn("fp", F.xxhash64("_t")), flagged, "fp")
     equal = texts.groupBy("_t").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = equal.select(F.sha2("_t", 256).alias("text_sha256"), "keep_id", "n")
     out = narrow.join(groups, "text_sha256", "left")
@@ -164,3 +149,17 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", own
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (single | F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``dedup_exact`` keeps, all columns; of rows that repeat id and text, one.
+
+    Only rows of groups with copies are shuffled, others pass through.
+    """
+    found = dedup_exact(docs, id_col, text, owners).where("group_size > 1").groupBy(id_col, "text_sha256").agg(F.max("kept").alias("_kept"))
+    found = materialize(found, "exact-groups").withColumnsRenamed({id_col: "_i", "text_sha256": "_s"})
+    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
+    maybe, unique = split_by_filter(marked, found.select(F.col("_s").alias("_sha")), "_sha")
+    both = maybe.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left")
+    kept = both.where("_kept").dropDuplicates([id_col, "_sha"])
+    return unique.select(*docs.columns).union(both.where("_kept IS NULL").select(*docs.columns)).union(kept.select(*docs.columns))

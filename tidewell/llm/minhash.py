@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, probably_in
+from tidewell.llm.common import materialize, probably_in, split_by_filter
 from tidewell.llm.components import connected_components
 
 K = 48
@@ -157,3 +157,12 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     out = corpus.rows.select("_id", *corpus.same).join(by_class, corpus.same, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``dedup_near`` keeps, all columns.  Rows with the same id stay or go together."""
+    verdict = dedup_near(docs.select(id_col, text), id_col, text, width, percent)
+    gone = verdict.groupBy(id_col).agg(F.max("kept").alias("_kept")).where("NOT _kept").select(id_col)
+    gone = materialize(gone, "minhash-gone")
+    maybe, others = split_by_filter(docs, gone, id_col)
+    return others.union(maybe.join(gone, id_col, "left_anti").select(*docs.columns))

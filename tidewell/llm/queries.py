@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact, language, minhash, mixing, pii, secrets, sharding, toxicity
+from tidewell.llm import bpe, embedding, exact, language, minhash, mixing, pii, secrets, sharding, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "classes")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.dedup_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan_pii(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_iban", "scores", "n_likely")
@@ -74,6 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_pii_scan": op4_pii_scan,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
