@@ -72,10 +72,9 @@ def quantile(frame: GridFrame, q: Sequence[float] | float, group: str | None = N
             return F.percentile(x, F.array(*map(F.lit, q)))
         return F.array(*(_order_statistic(F.sort_array(F.collect_list(x)), p, method) for p in q))
 
-    made = {v: one(frame.number(v)) for v in frame.variables}
+    nothing = F.array(*(F.lit(None).cast("double") for _ in q))
+    made = {v: F.coalesce(one(frame.number(v)), nothing) for v in frame.variables}
     rows = aggregate(df, keys, {"_q": F.arrays_zip(F.array(*map(F.lit, q)).alias("quantile"), *(c.alias(v) for v, c in made.items()))})
-    if len(made) == 0:
-        raise ValueError("no variables")
     return Result(rows.select(*keys, F.inline("_q")), (*keys, "quantile"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.model import ResultSet, named
 
-SIDECAR = "_grid.json"
+SIDECAR = "attributes.json"
 FILL = 9.96921e36
 #: Values of a NetCDF file at most; larger results belong in a store.
 NETCDF_VALUES = 50_000_000
