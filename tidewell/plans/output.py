@@ -88,7 +88,8 @@ def apply_mask(result: Result, mask: DataFrame, dims: list[str]) -> Result:
     """Null where the mask does not keep; a dim that only the mask has is added to the result."""
     shared = [d for d in dims if d in result.dims]
     joined = result.df.join(mask, shared, "left") if shared else result.df.crossJoin(mask)
-    kept = joined.withColumns({v: F.when(F.coalesce("_keep", F.lit(False)), named(v)) for v in result.variables}).drop("_keep")
+    keep, attrs = F.coalesce("_keep", F.lit(False)), {v: result.df.schema[v].metadata or {} for v in result.variables}
+    kept = joined.select(*(F.when(keep, named(c)).alias(c, metadata=attrs[c]) if c in attrs else named(c) for c in joined.columns if c != "_keep"))
     return Result(kept, (*result.dims, *(d for d in dims if d not in shared)))
 
 

@@ -178,5 +178,6 @@ def upload(spark: SparkSession, path: str, folder: str) -> str:
 
 
 def as_float(df: DataFrame, names: list[str]) -> DataFrame:
-    """Doubles as floats, for storage."""
-    return df.withColumns({n: named(n).cast("float") for n in names if df.schema[n].dataType.typeName() == "double"})
+    """Doubles as floats, for storage; attributes stay."""
+    doubles = {n for n in names if df.schema[n].dataType.typeName() == "double"}
+    return df.select(*(named(c).cast("float").alias(c, metadata=df.schema[c].metadata or {}) if c in doubles else named(c) for c in df.columns))
