@@ -54,7 +54,7 @@ def luhn(d: Column) -> Column:
 def mod97(x: Column) -> Column:
     """True if the compact IBAN ``x`` has remainder 1 (ISO 13616)."""
     turned = F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, F.lit(1), F.lit(4)))
-    codes = F.transform(F.split(turned, "(?!^)"), F.ascii)
+    codes = F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.ascii(F.substring(turned, i, F.lit(1))))
     return F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, a * 10 + c - 48).otherwise(a * 100 + c - 55) % 97) == 1
 
 
