@@ -14,19 +14,20 @@ from tidewell.llm import bpe, exact, language, minhash, mixing
 from tidewell.llm.common import materialize
 from tidewell.llm.queries import vocabulary
 
-#: A document is rejected if it has no letter or its language scores less than this.
-LEAST_SCORE = 0.02
 #: Five words to a shingle, 80 of 100 shingles shared.
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no letters (null and empty texts too) or resemble no language."""
+    """Drop documents without a language: no letters, or a text that is null or empty.
+
+    A low score alone is no reason, as short clean texts have one too.
+    """
     model = language.fit(docs.select("text", "lang", F.col("doc_id").alias("key")))
     if not model["langs"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.predict(docs, model, keep={c: F.col(c) for c in docs.columns})
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
