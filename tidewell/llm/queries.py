@@ -88,7 +88,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
+_U = "((('0x' || substr(md5('{node}|' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def _sql_tree(tree: sharding.Tree) -> str:
+    """The descent of ``sharding.place`` in SQL, for the key ``k``."""
+
+    def descend(children: list[tuple[str, float, str]]) -> str:
+        if len(children) == 1:
+            return children[0][2]
+        draws = [f"{{'d': -ln({_U.format(node=n)}) / {w}, 'i': {i}}}" for i, (n, w, _) in enumerate(children)]
+        return f"(CASE list_min([{', '.join(draws)}]).i " + " ".join(f"WHEN {i} THEN {v}" for i, (_, _, v) in enumerate(children)) + " END)"
+
+    regions = []
+    for region, racks in tree.items():
+        inside = [(rack, sum(shards.values()), descend([(f"{rack}/s{s}", w, str(s)) for s, w in shards.items()])) for rack, shards in racks.items()]
+        regions.append((region, sum(w for _, w, _ in inside), descend(inside)))
+    return descend(regions)
+
+
+_SPANS = """list_transform(range(len(m_{k})), lambda i: {{'start': (list_sum(list_transform(g_{k}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m_{k}[1:i], lambda x: length(x))), 0))::BIGINT,
+      'ord': {o}, 'kind': '{k}', 'm': m_{k}[i + 1]}})"""
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{24,}"))
+
 ORACLE_SQL: dict[str, str] = {
+    # The CRC goes byte by byte through the usual table, which a fold makes from its polynomial.
+    "op1_sharding": f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(encode(coalesce(text, ''))) AS h, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+  c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, j: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), i::BIGINT)) AS t),
+  e AS (SELECT d.*, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, c),
+  p AS (SELECT *, {_sql_tree(sharding.default_tree())} AS shard, {_sql_tree(sharding.grow(sharding.default_tree()))} AS grown_shard, ('0x' || substr(md5(k || '|' || crc), 14, 5))::BIGINT % {sharding.BUCKETS} AS bucket FROM e)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, crc, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard FROM p
+""",
+    "op2_secret_scan": f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+  m AS (SELECT doc_id, source, lang, {", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS g_{k}" for k, p in _KINDS)} FROM t),
+  c AS (SELECT doc_id, source, lang, list_concat(list_concat({", ".join(_SPANS.format(k=k, o=o) + (")" if o == 1 else "") for o, (k, _) in enumerate(_KINDS))}) AS c FROM m),
+  f AS (SELECT doc_id, source, lang, list_sort(list_filter(c, lambda x: (x.kind = 'assign' AND length(regexp_extract(x.m, '{_ASSIGN}', 1)) >= 6) OR (x.kind = 'access' AND length(x.m) >= 20) OR x.kind = 'hex')) AS c FROM c),
+  e AS (SELECT doc_id, source, x.start AS start, x.ord AS ord, sha256(CASE WHEN x.kind = 'assign' THEN regexp_extract(x.m, '{_ASSIGN}', 1) ELSE x.m END) AS h FROM (SELECT doc_id, source, unnest(c) AS x FROM f)),
+  o AS (SELECT h, count(DISTINCT source) >= {secrets.OWNERS_OF_AN_EXAMPLE} AS example FROM e GROUP BY h),
+  j AS (SELECT doc_id, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example, string_agg(CASE WHEN example THEN 'example' ELSE 'live' END, ',' ORDER BY start, ord) AS classes FROM e JOIN o USING (h) GROUP BY doc_id),
+  s AS (SELECT doc_id, c, array_to_string(list_transform(c, lambda x: x.kind || ':' || x.start || ':' || (x.start + length(x.m))), ',') AS spans FROM f)
+SELECT doc_id, {", ".join(f"len(list_filter(c, lambda x: x.kind = '{k}'))::BIGINT AS n_{k}" for k, _ in _KINDS)}, sha256(spans) AS base_sha256, spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(classes, '') AS classes
+FROM s LEFT JOIN j USING (doc_id)
+""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+  r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+  n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
+""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
