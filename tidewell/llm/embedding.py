@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize
 from tidewell.llm.components import connected_components
+from tidewell.llm.forest import Forest
 
 #: Tiles at least; vectors of a tile at most (about), which bounds the memory of a pair of tiles.
 TILES = 12
@@ -42,23 +43,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class _Forest:
-    """Roots of numbered nodes under links that arrive in bulk."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
-                self.parent = up
-            a, b = self.parent[i], self.parent[j]
-            if not (apart := a != b).any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def _similar(u: np.ndarray, v: np.ndarray, tail_u: list, tail_v: list, cuts: list[int], least: float) -> tuple:
     """Index pairs of u and v whose product reaches ``least``, with the products."""
     k = cuts[0]
@@ -93,7 +77,7 @@ def compare(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray,
     shift = 0 if y is None else len(x)
     other, weight = (x, wx) if y is None else (y, wy)
     n = len(x) + (0 if y is None else len(y))
-    partners, forest = np.zeros(n), _Forest(n)
+    partners, forest = np.zeros(n), Forest(n)
     place = np.empty(len(x), dtype=np.int64)
     place[ox] = np.arange(len(x))
     for a in range(0, len(x), CHUNK):

@@ -3,16 +3,19 @@
 1. A text's shingles are hashed once; the ``K`` smallest hashes are its sketch.
    Texts with the same set form one class, and only class representatives go on.
 2. Inverted lists: runs of ``RUN`` retained values that follow one another are the
-   list keys.  Two sets of Jaccard similarity 0.8 share no run of three among 48
-   retained values with probability below 1e-7, and sets small enough to be kept
+   list keys.  Two sets of Jaccard similarity 0.8 share no run of three among 64
+   retained values with probability below 1e-9, and sets small enough to be kept
    whole always share one (sets of 4 and 5 get runs of two as well).
 3. Each list yields the pairs of its smallest member with all others.  Pairs pass
    the size bound and the estimate from the union of their sketches, and are then
    verified on their full sets.
-4. Lists whose members are still in different components yield their remaining
-   pairs across components, filtered and verified the same way.  A member of long
-   lists only takes part there if it is in several of them; otherwise its partners
-   also meet it in a short list.
+4. Lists whose members are still in different components are looked at again.
+   Similar sets share many lists (fewer than ``SHARED`` with probability below 1e-6),
+   so each set leaves out its ``SHARED`` - 1 longest such lists: a partner also meets it
+   in another one, and sets that share a passage only drop out.  What the remaining
+   lists connect are families of heavily edited copies.  A family is cut into blocks,
+   and pairs of blocks count common shingles of their full sets as one product; they
+   report a forest of links, never the pairs.
 
 Verified pairs are joined to components.  No list is cut, and no list, component or
 sketch is gathered in one place.
@@ -22,20 +25,24 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialize, probably_in, split_by_filter
 from tidewell.llm.components import connected_components
+from tidewell.llm.forest import Forest
 
-K = 48
+K = 64
 RUN = 3
 #: Standard deviations below the threshold at which the estimate rejects a pair.
 MARGIN = 5.0
-#: Lists up to this length take part in step 4 with all members.
-SHORT = 64
-#: Long lists that a member must be in to be paired inside long lists.
-LONG_LISTS = 3
+#: Lists that similar sets share at least; sets kept whole share 0.4 n - 2 or more.
+SHARED = 7
+#: A block of a family holds about this many sets and shingles at most.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
+#: Weights of counting in pairs against counting by products, and the sizes of their steps.
+DENSE, SPARSE_PAIRS, SLICE = 64, 4_000_000, 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +91,13 @@ class _Corpus:
         reps = self.classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"), *self.same)
         return self.rows.join(reps, ["_id", *self.same], "left_semi").select("_id", "n", "sketch")
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(_id, shingles, n) of class representatives among ``ids``, read again from their texts."""
+        reps = self.classes.select(F.col("rep").alias("_id"), *self.same)
+        near = with_shingles(probably_in(self.texts, ids, "_id"), "_t", self.width)
+        near = near.select("_id", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"))
+        return near.join(ids.distinct(), "_id", "left_semi").join(reps, ["_id", *self.same], "left_semi").select("_id", "shingles", "n")
+
     def similar(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sketches do not rule the threshold out."""
         t = self.percent / 100
@@ -98,10 +112,7 @@ class _Corpus:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets reach the threshold; only their texts are read into sets."""
         ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id")))
-        reps = self.classes.select(F.col("rep").alias("_id"), *self.same)
-        near = with_shingles(probably_in(self.texts, ids, "_id"), "_t", self.width)
-        near = near.select("_id", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"))
-        sets = near.join(ids.distinct(), "_id", "left_semi").join(reps, ["_id", *self.same], "left_semi").select("_id", "shingles", "n")
+        sets = self.sets_of(ids)
         one = sets.select(F.col("_id").alias("a"), F.col("shingles").alias("sa"), F.col("n").alias("na"))
         two = sets.select(F.col("_id").alias("b"), F.col("shingles").alias("sb"), F.col("n").alias("nb"))
         both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
@@ -113,6 +124,100 @@ def _sized(x: str, y: str, percent: int) -> Column:
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def common_counts(a: list, b: list) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b`` (arrays of distinct longs).
+
+    Values in few sets are counted pair by pair, values in many as slices of a matrix product.
+    """
+    ia, ib = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    if not len(both):
+        return out
+    ka, kb = np.searchsorted(both, va), np.searchsorted(both, vb)
+    on_a, on_b = both[np.minimum(ka, len(both) - 1)] == va, both[np.minimum(kb, len(both) - 1)] == vb
+    ka, ia, kb, ib = ka[on_a], ia[on_a], kb[on_b], ib[on_b]
+    oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+    ka, ia, kb, ib = ka[oa], ia[oa], kb[ob], ib[ob]
+    na, nb = np.bincount(ka, minlength=len(both)), np.bincount(kb, minlength=len(both))
+    dense = na.astype(np.int64) * nb * DENSE > len(a) * len(b)
+    flat = out.reshape(-1)
+    starts = np.concatenate([[0], np.cumsum(nb)])
+    light = np.flatnonzero(~dense[ka])
+    for part in np.array_split(light, max(1, int(nb[ka[light]].sum()) // SPARSE_PAIRS + 1)):
+        k = ka[part]
+        times = nb[k]
+        at = np.repeat(starts[k] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        flat += np.bincount(np.repeat(ia[part], times) * len(b) + ib[at], minlength=flat.size).astype(np.float32)
+    heavy = np.flatnonzero(dense)
+    for part in np.array_split(heavy, len(heavy) // SLICE + 1):
+        if not len(part):
+            continue
+        to = np.full(len(both), -1)
+        to[part] = np.arange(len(part))
+        ma, mb = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
+        ja, jb = to[ka] >= 0, to[kb] >= 0
+        ma[ia[ja], to[ka[ja]]] = 1
+        mb[ib[jb], to[kb[jb]]] = 1
+        out += ma @ mb.T
+    return out
+
+
+def _block_links(percent: int):
+    def run(part):
+        import pandas as pd
+
+        part = part.sort_values("_id", ignore_index=True)
+        left = np.flatnonzero(part["side"] == 1)
+        right = np.flatnonzero(part["side"] == 2)
+        if not len(right):
+            right = left
+        ids, label, n = part["_id"].to_numpy(), part["component"].to_numpy(), part["n"].to_numpy()
+        sets = part["shingles"]
+        forest = Forest(len(part))
+        if len(left):
+            common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+            union = n[left][:, None] + n[right][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (label[left][:, None] != label[right][None, :]))
+            forest.add(left[i], right[j])
+        root = forest.parent
+        moved = root != np.arange(len(part))
+        return pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
+
+    return run
+
+
+def _within_families(corpus: _Corpus, rest: DataFrame) -> DataFrame:
+    """Verified links (a, b) between members of different components that share a list of ``rest``."""
+    low = rest.groupBy("key").agg(F.min("_id").alias("low"))
+    family = connected_components(rest.join(low, "key").select(F.col("_id").alias("a"), F.col("low").alias("b")))
+    docs = rest.select("_id", "n", "component").distinct().join(family.select(F.col("node").alias("_id"), F.col("component").alias("family")), "_id")
+    docs = materialize(docs, "minhash-families")
+
+    def parts(count: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    # A component that fills blocks of its own is not compared with itself; the others share blocks.
+    each = docs.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    each = each.withColumn("whole", (F.col("c") * 2 >= BLOCK_SETS) | (F.col("w") * 2 >= BLOCK_SHINGLES)).withColumn("parts", parts(F.col("c"), F.col("w")))
+    shared = each.where("NOT whole").groupBy("family").agg(parts(F.sum("c"), F.sum("w")).alias("shared"))
+    each = each.join(shared, "family", "left").select("family", "component", "whole", F.coalesce(F.when(F.col("whole"), F.col("parts")), F.col("shared"), F.lit(1)).alias("parts"))
+    number = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("_id")).otherwise(F.col("component"))), F.col("parts")).cast("int")
+    placed = docs.join(each, ["family", "component"]).withColumn("part", number).withColumn("own", F.when(F.col("whole"), F.col("component")))
+    placed = materialize(placed.select("_id", "n", "component", "family", "part", "own"), "minhash-blocks")
+    block = F.struct(F.coalesce(F.col("own"), F.lit(-1).cast("long")).alias("own"), F.col("own").isNull().alias("mixed"), F.col("part")).alias("block")
+    blocks = placed.select("family", block, "own").distinct()
+    one = blocks.select("family", F.col("block").alias("p"), F.col("own").alias("op"))
+    two = blocks.select(F.col("family").alias("f2"), F.col("block").alias("q"), F.col("own").alias("oq"))
+    pairs = one.join(two, (F.col("family") == F.col("f2")) & (F.col("p") <= F.col("q")) & (F.col("op").isNull() | F.col("oq").isNull() | (F.col("op") != F.col("oq")))).select("family", "p", "q")
+    with_sets = placed.select("_id", "component", "family", block).join(corpus.sets_of(placed.select("_id")), "_id")
+    first = with_sets.join(pairs.withColumn("block", F.col("p")), ["family", "block"]).withColumn("side", F.lit(1))
+    second = with_sets.join(pairs.where("p <> q").withColumn("block", F.col("q")), ["family", "block"]).withColumn("side", F.lit(2))
+    rows = first.union(second.select(*first.columns)).select("family", "p", "q", "side", "_id", "component", "n", "shingles")
+    return rows.groupBy("family", "p", "q").applyInPandas(_block_links(percent=corpus.percent), "a long, b long")
+
+
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
@@ -141,13 +246,11 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     open_rows = members.where("size > 2").join(label, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
     mixed_rows = materialize(open_rows.join(mixed, "key", "left_semi").select("key", "_id", "n", "size", "component"), "minhash-mixed")
-    busy = mixed_rows.where(F.col("size") > SHORT).groupBy("_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LONG_LISTS).select("_id")
-    rest = mixed_rows.where(F.col("size") <= SHORT).union(mixed_rows.where(F.col("size") > SHORT).join(busy, "_id", "left_semi").select(*mixed_rows.columns))
-    x = rest.select("key", F.col("_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb", percent)).select("a", "b").distinct()
-    more = materialize(corpus.similar(across, sketches), "minhash-pairs")
-    added = materialize(corpus.verified(more), "minhash-links") if not more.isEmpty() else more
+    by_length = Window.partitionBy("_id").orderBy("size", "key")
+    shared = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * 0.4 - 2)))
+    ranked = mixed_rows.withColumn("_r", F.row_number().over(by_length)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("_id")))
+    rest = materialize(ranked.where(F.col("_r") <= F.col("_m") - shared + 1).drop("_r", "_m"), "minhash-rest")
+    added = materialize(_within_families(corpus, rest), "minhash-links")
     if not added.isEmpty():
         links = links.union(added)
         found = materialize(connected_components(links), "minhash-components")
