@@ -57,7 +57,8 @@ def test_queries_equal_sql(spark, name):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     df = QUERIES[name](spark, data)
     cols = sorted(df.columns)
     made = con.sql(ORACLE_SQL[name])

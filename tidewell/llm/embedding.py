@@ -162,10 +162,14 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ve
     n = placed.count()
     cut = max(tiles, math.ceil(n / tile_rows))
     edges = sorted(set(placed.approxQuantile("p", [i / cut for i in range(1, cut)], 0.2 / cut))) if n else []
-    bucket = F.lit(0)
-    for step in [edges[i : i + 500] for i in range(0, len(edges), 500)]:
-        bucket = bucket + F.size(F.filter(F.array(*map(F.lit, step)), lambda e: e <= F.col("p")))
-    placed = placed.withColumn("q", bucket)
+    steps = np.array(edges)
+
+    def cut_of(batches: Iterator) -> Iterator:
+        for b in batches:
+            b["q"] = np.searchsorted(steps, b["p"].to_numpy(), "right").astype("int32")
+            yield b
+
+    placed = placed.mapInPandas(cut_of, "rep long, m long, v binary, p double, q int")
     # A cut with far more than its share (many vectors with one coordinate) is split by a hash.
     found = placed.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("q").collect()
     share = max(1, math.ceil(1.5 * n / cut))
@@ -176,7 +180,8 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ve
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     lows = np.array([lo for lo, _ in bounds])
     last = [int(np.searchsorted(lows, hi + reach, "right")) - 1 for _, hi in bounds]
-    begin = [next((a for a in range(t + 1) if last[a] >= t), t) for t in range(len(bounds))]
+    # Of the tiles before t, the first that reaches t; those between it and t are near enough to count too.
+    begin = [int(x) for x in np.searchsorted(np.maximum.accumulate(last), np.arange(len(bounds)))] if bounds else []
     by_cut = spark.createDataFrame([(q, first, parts) for q, (first, parts) in tile_of.items()] or [(0, 0, 1)], "q int, first int, parts int")
     by_tile = spark.createDataFrame([(t, begin[t], last[t]) for t in range(len(bounds))] or [(0, 0, 0)], "tile int, begin int, last int")
     # Both have a row per tile: n / tile_rows of them.

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     weights = natural_weights(docs, source) if weights is None else weights.where("weight > 0")
     plan = schedule(shares(weights, period)).withColumnRenamed("source", "_s")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    ranked = gapless_rank(named, "_source", [F.col(id_col)], F.pmod(F.xxhash64(key), F.lit(BUCKETS)), "_rank")
+    bucket = F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("long") % BUCKETS
+    ranked = gapless_rank(named, "_source", [F.col(id_col)], bucket, "_rank")
     parts = plan.select(F.col("_s").alias("_s2"), F.col("parts").alias("_parts"), F.col("period").alias("_period")).distinct()
     # Both small sides have at most max(PERIOD, 4 per source) rows, whatever the documents.
     ranked = ranked.join(F.broadcast(parts), F.col("_source") == F.col("_s2"), "left").withColumn("mix_block", F.when(F.col("_parts").isNotNull(), F.floor(F.col("_rank") / block)))

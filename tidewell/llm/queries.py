@@ -112,6 +112,70 @@ _SPANS = """list_transform(range(len(m_{k})), lambda i: {{'start': (list_sum(lis
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = (("assign", _ASSIGN), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]{24,}"))
 
+def _sql_spans(kind: str, pattern: str) -> str:
+    return f"""list_transform(range(len(m_{kind})), lambda i: {{'start': (list_sum(list_transform(g_{kind}[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m_{kind}[1:i], lambda x: length(x))), 0))::BIGINT, 'm': m_{kind}[i + 1]}})"""
+
+
+#: The base patterns as they are written down, without the forms that keep Java's matching linear.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+}
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+_COMPACT = "replace(x.m, ' ', '')"
+_PII_VALID = {
+    "email": "true",
+    "ip": f"regexp_matches(x.m, '{pii.IP_IN_RANGE}')",
+    "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length({_DIGITS})), lambda i: (substr(reverse({_DIGITS}), i + 1, 1)::INT * (1 + i % 2)) // 10 + (substr(reverse({_DIGITS}), i + 1, 1)::INT * (1 + i % 2)) % 10)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+    "iban": f"length({_COMPACT}) BETWEEN 15 AND 34 AND list_reduce(list_transform(range(length({_COMPACT})), lambda i: ascii(substr({_COMPACT}[5:] || {_COMPACT}[:4], i + 1, 1))::BIGINT), lambda a, c: (CASE WHEN c < 58 THEN a * 10 + c - 48 ELSE a * 100 + c - 55 END) % 97, 0::BIGINT) = 1",
+}
+
+
+def _sql_pii() -> str:
+    around = f"(substr(t, greatest(x.start - {pii.REACH}, 0) + 1, x.start - greatest(x.start - {pii.REACH}, 0)) || ' ' || substr(t, x.start + length(x.m) + 1, {pii.REACH}))"
+
+    def scored(k: str) -> str:
+        score = f"round({pii.BASE_SCORE[k]}::DOUBLE + CASE WHEN regexp_matches({around}, '{pii.NEAR[k]}') THEN 0.2 ELSE 0.0 END::DOUBLE - CASE WHEN regexp_matches({around}, '{pii.AGAINST}') THEN 0.3 ELSE 0.0 END::DOUBLE, 2)"
+        made = f"list_transform(list_filter({_sql_spans(k, _PII[k])}, lambda x: {_PII_VALID[k]}), lambda x: {{'span': '{k}:' || x.start || ':' || (x.start + length(x.m)), 'score': {score}}})"
+        return (f"list_filter({made}, lambda y: y.score >= 0.6)" if k == "iban" else made) + f" AS {k}"
+
+    base = "list_concat(list_concat(email, ip), list_concat(card, phone))"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  m AS (SELECT doc_id, t, {", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS g_{k}" for k, p in _PII.items())} FROM t),
+  s AS (SELECT doc_id, {", ".join(map(scored, _PII))} FROM m),
+  b AS (SELECT *, {base} AS base, list_concat({base}, iban) AS spans FROM s)
+SELECT doc_id, {", ".join(f"len({k})::BIGINT AS n_{k}" for k in _PII)}, sha256(array_to_string(list_transform(base, lambda y: y.span), ',')) AS base_sha256,
+  array_to_string(list_transform(spans, lambda y: y.span), ',') AS spans, array_to_string(list_transform(spans, lambda y: y.score::VARCHAR), ',') AS scores, len(list_filter(spans, lambda y: y.score >= 0.5))::BIGINT AS n_likely
+FROM b
+"""
+
+
+#: Weights, parts of a period, the schedule as a recursion over its slots, and the rows' places in it.
+_MIXING = f"""
+WITH RECURSIVE w AS (SELECT coalesce(source, '') AS source, pow(count(*)::DOUBLE, 0.5) AS weight FROM documents GROUP BY 1),
+  p0 AS (SELECT *, greatest({mixing.PERIOD}, count(*) OVER () * 4) AS period, count(*) OVER () AS k FROM w),
+  p1 AS (SELECT *, greatest(weight / sum(weight) OVER () * period - 1, 0.0) AS over_ FROM p0),
+  p2 AS (SELECT *, CASE WHEN sum(over_) OVER () > 0 THEN over_ / sum(over_) OVER () * (period - k) ELSE (period - k) / k END AS wide FROM p1),
+  p3 AS (SELECT *, (period - k) - sum(floor(wide)) OVER () AS left_ FROM p2),
+  p4 AS (SELECT source, period, (1 + floor(wide) + CASE WHEN row_number() OVER (ORDER BY wide - floor(wide) DESC, source) <= left_ THEN 1 ELSE 0 END)::BIGINT AS parts FROM p3),
+  pl AS (SELECT list(source ORDER BY source) AS sources, list(parts ORDER BY source) AS parts, max(period)::BIGINT AS period FROM p4),
+  e AS (SELECT 0::BIGINT AS t, list_transform(parts, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM pl
+    UNION ALL SELECT t + 1, list_transform(range(len(done)), lambda i: done[i + 1] + (i = p)::BIGINT), p FROM (
+      SELECT t, done, list_min(list_filter(list_transform(range(len(done)), lambda i: {{'due': ceil((done[i + 1] + 1)::DOUBLE * period / parts[i + 1]), 'i': i, 'ok': floor(done[i + 1]::DOUBLE * period / parts[i + 1]) <= t AND done[i + 1] < parts[i + 1]}}), lambda x: x.ok)).i AS p
+      FROM e, pl WHERE t < period)),
+  s AS (SELECT sources[pick + 1] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM e, pl WHERE pick IS NOT NULL),
+  r AS (SELECT doc_id, documents.source AS original, coalesce(documents.source, '') AS source, row_number() OVER (PARTITION BY coalesce(documents.source, '') ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 5))::BIGINT % {mixing.BUCKETS}, doc_id) - 1 AS rank FROM documents),
+  b AS (SELECT r.*, p4.parts, p4.period, rank // {mixing.BLOCK} AS mix_block FROM r JOIN p4 ON r.source = p4.source)
+SELECT doc_id, original AS source, mix_block, (mix_block // parts) * period + s.slot AS mix_slot, rank % {mixing.BLOCK} AS mix_row
+FROM b JOIN s ON b.source = s.source AND b.mix_block % b.parts = s.nth
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     # The CRC goes byte by byte through the usual table, which a fold makes from its polynomial.
     "op1_sharding": f"""
@@ -141,6 +205,8 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHE
   n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
 """,
+    "op4_pii_scan": _sql_pii(),
+    "op6_mixing": _MIXING,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
