@@ -72,7 +72,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from test_text_operators import AWKWARD, GERMAN, exact_brute, frame, near_brute, near_texts, words
 
-    from tidewell.llm import bpe
+    from tidewell.llm import bpe, mixing
     from tidewell.llm.queries import vocabulary
 
     texts = [*AWKWARD, *near_texts(), *(words(GERMAN, 30, i) for i in range(60))]
@@ -85,8 +85,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     left = [left[r[0]] for r in near if r[3]]
     ranks, pattern = vocabulary()
     codec = bpe.ByteBPE(bpe.parse_ranks(ranks), pattern)
-    got = {r.doc_id: r.token_ids for r in out.collect()}
-    assert got == {i: codec.encode(texts[i]) for i in left}
+    rows = out.orderBy("mix_file", "mix_row").collect()
+    assert {r.doc_id: r.token_ids for r in rows} == {i: codec.encode(texts[i]) for i in left}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    mixed = mixing.mix(docs.join(spark.createDataFrame([(i,) for i in left], "doc_id long"), "doc_id"))
+    assert [r.doc_id for r in rows] == [r.doc_id for r in mixed.orderBy("mix_slot", "mix_row").collect()]
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
@@ -98,3 +101,5 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, "").schema.names == docs.schema.names, name
         assert stage(spark, empty, "").count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame([(1, "a b", "en", "s", 3)], docs.schema), "").first()
+    assert last.mix_file is None and last.n_tokens == 2
