@@ -7,6 +7,7 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +46,26 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The target weight of a source is its share of the documents, so that every stretch
     of the output holds the sources in the corpus's proportions, within a block each,
-    and no document is dropped or repeated.  Output files hold consecutive slots.
+    and no document is dropped or repeated.  Files in the order of their names, read row
+    by row, hold the mixture; the next stage passes that place on.
     """
     mixed = mixing.mix(docs)
     return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, in the order of the mixture."""
+    """Token ids of every document, with its place in the mixture.
+
+    ``mix_file`` and ``mix_row`` are the file that a document was read from and its row
+    there; ordering by both gives the mixture.  They are null if ``docs`` is no file.
+    """
     ranks, pattern = vocabulary()
-    return bpe.tokenize(docs, ranks, pattern, keep=["doc_id", "lang", "source"])
+    place = {"mix_file": F.col("_metadata.file_name"), "mix_row": F.col("_metadata.row_index")}
+    try:
+        placed = docs.withColumns(place)
+    except AnalysisException:
+        placed = docs.withColumns({"mix_file": F.lit(None).cast("string"), "mix_row": F.lit(None).cast("long")})
+    return bpe.tokenize(placed, ranks, pattern, keep=["doc_id", "lang", "source", *place])
 
 
 STAGES = [
