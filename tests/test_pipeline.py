@@ -71,6 +71,11 @@ def test_plain_calls_share_one_scan(spark, data, tmp_path):
     assert plan.count("parquet") == 1 and "dpm" not in plan.split("Relation")[0]
 
 
+def test_roles_from_the_schema(spark, data):
+    grid = GridFrame.of(spark.read.parquet(data))
+    assert grid.cells == ("latitude", "longitude") and grid.variables == ("hs", "tp", "dpm") and grid.dim == "time"
+
+
 def test_same_name_twice_is_an_error(spark, data, tmp_path):
     calls = [{"func": "mean", "data_vars": ["hs"]}, {"func": "mean", "data_vars": ["hs"]}]
     with pytest.raises(ValueError, match="suffix"):

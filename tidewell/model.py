@@ -17,6 +17,9 @@ def _season(t: Column) -> Column:
     return F.when(m.isin(12, 1, 2), "DJF").when(m <= 5, "MAM").when(m <= 8, "JJA").otherwise("SON")
 
 
+#: Names that are dimensions even where their labels are fractional.
+COORDINATES = frozenset({"latitude", "longitude", "lat", "lon", "x", "y", "site", "point", "station", "cycle", "lev", "alt"})
+
 CALENDAR: dict[str, Callable[[Column], Column]] = {
     "year": F.year,
     "quarter": F.quarter,
@@ -44,9 +47,12 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def missing_to_null(df: DataFrame) -> DataFrame:
-    """NaN is the missing value of gridded data; Spark would count and order it, so it becomes NULL."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (FloatType, DoubleType))]
+def missing_to_null(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """NaN is the missing value of gridded data; Spark would count and order it, so it becomes NULL.
+
+    Columns of ``keep`` (dimensions) stay bare, so that predicates on them reach the scan.
+    """
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (FloatType, DoubleType)) and f.name not in keep]
     return df.withColumns({c: F.when(~F.isnan(named(c)), named(c)) for c in floats}) if floats else df
 
 
@@ -69,14 +75,14 @@ class GridFrame:
 
     @classmethod
     def of(cls, df: DataFrame, dim: str = "time", cells: Sequence[str] | None = None, variables: Sequence[str] | None = None) -> GridFrame:
-        """Roles from the schema: fractional and boolean columns are variables, other columns cells."""
+        """Roles from the schema: fractional and boolean columns are variables, other columns and COORDINATES cells."""
         if variables is None:
-            named = set(cells or ()) | {dim}
+            taken = {*(COORDINATES if cells is None else cells), dim}
             kinds = (FloatType, DoubleType) if cells is None else NumericType
-            variables = [f.name for f in df.schema.fields if f.name not in named and (isinstance(f.dataType, kinds) or f.dataType.typeName() == "boolean")]
+            variables = [f.name for f in df.schema.fields if f.name not in taken and (isinstance(f.dataType, kinds) or f.dataType.typeName() == "boolean")]
         if cells is None:
             cells = [c for c in df.columns if c != dim and c not in variables]
-        return cls(missing_to_null(df), tuple(cells), tuple(variables), dim)
+        return cls(missing_to_null(df, (*cells, dim)), tuple(cells), tuple(variables), dim)
 
     def with_df(self, df: DataFrame, **changes) -> GridFrame:
         return replace(self, df=df, **changes)

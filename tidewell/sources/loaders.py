@@ -22,7 +22,7 @@ def read(spark: SparkSession, path: str, engine: str = "parquet", options: dict[
 
 
 def _finish(df: DataFrame, config: Any) -> DataFrame:
-    df = prepare(missing_to_null(df), config.mapping, config.sel, config.isel)
+    df = missing_to_null(prepare(df, config.mapping, config.sel, config.isel))
     if config.chunks:
         # Chunks of a grid become partitions by the chunked dims; sizes are left to adaptive execution.
         dims = [d for d, n in config.chunks.items() if d in df.columns and n != -1]
