@@ -5,13 +5,15 @@ import json
 
 import pytest
 from pydantic import ValidationError
+from pyspark.sql import functions as F
 
 from tidewell.cli import main
-from tidewell.model import GridFrame
+from tidewell.model import GridFrame, Result, ResultSet
 from tidewell.plans import Pipeline, PipelineConfig
 from tidewell.plans.config import Call, Derived, Mask, Source
 from tidewell.registry import register_loader
 from tidewell.sources import sinks
+from tidewell.sources.loaders import read
 from tidewell.sources.select import prepare
 from tidewell.streaming import incremental, samples
 
@@ -107,6 +109,40 @@ def test_netcdf_header(spark, data, tmp_path):
         Pipeline(config(data, tmp_path / "out.txt", [{"func": "mean", "data_vars": ["hs"]}]), spark).run()
 
 
+def test_netcdf_round_trip(spark, data, tmp_path):
+    path = tmp_path / "grid.nc"
+    df = spark.read.parquet(data)
+    results = ResultSet()
+    results.add(Result(df, ("time", "latitude", "longitude")))
+    results.add(Result(df.groupBy("latitude").agg(F.max("tp").alias("depth")), ("latitude",)))
+    sinks.write(spark, results, str(path), {})
+    back = read(spark, str(path), "scipy")
+    assert back.columns == ["time", "latitude", "longitude", "hs", "tp", "dpm", "depth"] and dict(back.dtypes)["time"] == "timestamp_ntz"
+    assert sorted(back.drop("depth").collect(), key=repr) == sorted(df.collect(), key=repr)
+    assert back.select("depth").distinct().collect()[0].depth == 10
+    c = config(str(path), tmp_path / "n.zarr", [{"func": "mean", "data_vars": ["hs"]}])
+    c["source"] |= {"engine": "netcdf4"}
+    assert Pipeline(c, spark).compute()[0][tuple(CELLS)].df.count() == 4
+
+
+def test_netcdf_records_and_packing(spark, tmp_path):
+    import struct
+
+    def text(x):
+        return struct.pack(">I", len(x)) + x.encode() + b"\0" * (-len(x) % 4)
+
+    head = b"CDF\x01" + struct.pack(">I", 2) + struct.pack(">II", 10, 2) + text("time") + struct.pack(">I", 0) + text("x") + struct.pack(">I", 3) + struct.pack(">II", 0, 0)
+    packed = struct.pack(">II", 12, 2) + text("scale_factor") + struct.pack(">IId", 6, 1, 0.5) + text("_FillValue") + struct.pack(">IIhh", 3, 1, -9, 0)
+    units = struct.pack(">II", 12, 1) + text("units") + struct.pack(">II", 2, 22) + b"hours since 2020-01-01\0\0"
+    one = text("time") + struct.pack(">II", 1, 0) + units + struct.pack(">II", 6, 8)
+    two = text("v") + struct.pack(">III", 2, 0, 1) + packed + struct.pack(">II", 3, 8)
+    begin = len(head) + 8 + len(one) + 4 + len(two) + 4
+    body = struct.pack(">d3hh", 0.0, 2, 4, -9, 0) + struct.pack(">d3hh", 6.0, 1, 3, 5, 0)
+    (tmp_path / "r.nc").write_bytes(head + struct.pack(">II", 11, 2) + one + struct.pack(">I", begin) + two + struct.pack(">I", begin + 8) + body)
+    rows = read(spark, str(tmp_path / "r.nc"), "netcdf3").orderBy("time", "x").collect()
+    assert [r.v for r in rows] == [1, 2, None, 0.5, 1.5, 2.5] and rows[3].time == dt.datetime(2020, 1, 1, 6)
+
+
 def test_upload(spark, data, tmp_path):
     Pipeline(config(data, tmp_path / "u.zarr", [{"func": "mean", "data_vars": ["hs"]}], updir=str(tmp_path / "up")), spark).run()
     assert json.loads((tmp_path / "up" / "u.zarr" / sinks.SIDECAR).read_text())["variables"]

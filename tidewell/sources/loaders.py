@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.model import missing_to_null
 from tidewell.registry import register_loader
+from tidewell.sources.netcdf import read_netcdf
 from tidewell.sources.select import prepare
 
-#: Engines of gridded formats; their data is expected as tidy Parquet under the same path.
+#: Engines of gridded formats; but for NetCDF classic, their data is expected as tidy Parquet under the same path.
 GRIDDED = {"zarr", "netcdf4", "h5netcdf", "scipy", "cfgrib"}
+CLASSIC = {"scipy", "netcdf3"}
 
 
 def read(spark: SparkSession, path: str, engine: str = "parquet", options: dict[str, Any] | None = None) -> DataFrame:
+    if engine in CLASSIC or engine in GRIDDED and path.endswith(".nc"):
+        return read_netcdf(spark, path)
     fmt = "parquet" if engine in GRIDDED else engine
     return spark.read.format(fmt).options(**(options or {})).load(path)
 
