@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches
+
 NONE = 1 << 62
 SHIFT = 32
 MASK = (1 << SHIFT) - 1
 #: Pieces up to this many bytes are remembered by each Python worker, twice this many at most.
 CACHED_BYTES = 64
-CACHED_PIECES = 250_000
+CACHED_PIECES = 120_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -149,6 +151,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes, pattern: str, text: str = "text
     """
     import numpy as np
 
+    small_batches(docs.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     src = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))

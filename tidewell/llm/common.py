@@ -53,6 +53,17 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of an Arrow batch at most, for operators that hand texts to Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_BYTES, so that long texts do not add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def gapless_rank(df: DataFrame, group: str, order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2 ... within ``group`` (a column that is not null), without one task per group.
 

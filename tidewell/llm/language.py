@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import small_batches
+
 DIM = 1024
 SLOTS = 64  # letter classes; 0 is everything that is no letter
 SEED = 20240229
@@ -64,7 +66,7 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     def flush() -> tuple[np.ndarray, np.ndarray]:
         cps = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        row = np.repeat(np.array(rows), [len(p) for p in parts])
+        row = np.repeat(np.array(rows, dtype=np.int32), [len(p) for p in parts])
         slot = table[np.minimum(cps, 65535)]
         if len(wide := np.flatnonzero(cps > 65535)):
             slot[wide] = [27 + int(x) % (SLOTS - 27) if chr(x).isalpha() else 0 for x in cps[wide]]
@@ -104,7 +106,7 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     seen[tri] = True
     ids = np.flatnonzero(seen)
     at = np.cumsum(seen) - 1
-    counts = np.bincount(row * len(ids) + at[tri], minlength=len(texts) * len(ids)).reshape(len(texts), len(ids))
+    counts = np.bincount(row.astype(np.int64) * len(ids) + at[tri], minlength=len(texts) * len(ids)).reshape(len(texts), len(ids))
     return ids, counts.astype(np.float32), letters
 
 
@@ -112,8 +114,8 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the texts (texts x DIM) and their letter counts."""
     ids, counts, letters = trigram_counts(texts)
     out = np.zeros((len(texts), DIM), dtype=np.float32)
-    for a in range(0, len(ids), 8192):
-        out += counts[:, a : a + 8192] @ trigram_vectors(ids[a : a + 8192])
+    for a in range(0, len(ids), 2048):
+        out += counts[:, a : a + 2048] @ trigram_vectors(ids[a : a + 2048])
     return out, letters
 
 
@@ -123,6 +125,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
     At most about ``max_rows`` rows are read, chosen by a hash of ``key``; of fewer, all.
     Only one vector per language reaches the driver.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     n = rows.count()
     if n > max_rows:
@@ -176,6 +179,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Co
     learned.  The score is the cosine with the centred prototype, cut to 0 .. 1.
     Ties go to the language first in order.  There is no shuffle.
     """
+    small_batches(docs.sparkSession)
     keep = {"doc_id": F.col("doc_id")} if keep is None else keep
     src = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     kept = [f"k{i}" for i in range(len(keep))]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import materialize, small_batches
 
 #: Bounds of the training sample: documents of each label, features, windows of a document, tokens of a window.
 MAX_PER_LABEL = 6_000
@@ -31,7 +31,7 @@ MAX_WINDOWS = 8
 WINDOW = 32
 PREFIXES = (4, 5)
 MIN_ODDS, TAG_ODDS, MIN_DOCS = 1.5, 3.0, 3
-CACHED_TOKENS = 250_000
+CACHED_TOKENS = 120_000
 #: Tokens of one step over a text; longer texts are read in slices, never cut off.
 WORDS = re.compile(r"\w+")
 
@@ -260,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
     With no labelled text, or one label only, the score of every text is that label's
     share (0 without labels).
     """
+    small_batches(docs.sparkSession)
     sample = materialize(_sample(docs, labels, max_per_label), "toxic-sample")
     n = Counter({int(r.y > 0): r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()})
     empty = {"weight": {}, "bias": 0.0, "trans": np.zeros((2, 2)), "start": np.zeros(2), "final": None, "share": float(n[1] > 0)}
@@ -296,6 +297,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Colu
     end exclusive.  Null text counts as empty; an empty text gets the score of a text
     without evidence.  There is no shuffle.
     """
+    small_batches(docs.sparkSession)
     keep = {"doc_id": F.col("doc_id")} if keep is None else keep
     src = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     kept = [f"k{i}" for i in range(len(keep))]
