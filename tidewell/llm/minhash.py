@@ -36,7 +36,7 @@ from tidewell.llm.forest import Forest
 K = 64
 RUN = 3
 #: Standard deviations below the threshold at which the estimate rejects a pair.
-MARGIN = 5.0
+MARGIN = 6.0
 #: Lists that similar sets share at least; sets kept whole share 0.4 n - 2 or more.
 SHARED = 7
 #: A block of a family holds about this many sets and shingles at most.
