@@ -288,6 +288,35 @@ def test_mix_places_every_row(spark):
     assert len(some) == 140 and all((r.mix_slot is None) == (r.source != "big") for r in some)
 
 
+def test_mix_keeps_to_target_weights_over_many_periods(spark):
+    sizes = {"hot": 18_000, **{f"s{i:02}": 1894 for i in range(19)}, "tiny": 6}
+    names = F.array(*(F.lit(k) for k in sizes))
+    ends = F.array(*(F.lit(sum(list(sizes.values())[: i + 1])) for i in range(len(sizes))))
+    total = sum(sizes.values())
+    at = F.size(F.filter(ends, lambda e: e <= F.col("doc_id")))
+    df = spark.range(total).withColumnRenamed("id", "doc_id").withColumn("source", F.get(names, at))
+    for weights in ({k: float(n) for k, n in sizes.items()}, {k: n**0.5 for k, n in sizes.items()}):
+        whole = sum(weights.values())
+        table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+        rows = mixing.mix(df, table, block=4).collect()
+        assert len(rows) == total and len({(r.mix_slot, r.mix_row) for r in rows}) == total
+        owner = {r.mix_slot: r.source for r in rows}
+        assert len(owner) == sum(-(-n // 4) for n in sizes.values())
+        done, left = Counter(), {k: -(-n // 4) for k, n in sizes.items()}
+        for t in range(max(owner) + 1):
+            done[owner.get(t)] += 1
+            for k, n in left.items():
+                assert done[k] == n or abs(done[k] - weights[k] / whole * (t + 1)) < 1
+
+
+def test_timetable_is_the_schedule_where_weights_are_whole_parts(spark):
+    weights = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.0), ("d", 1.0)], "source string, weight double")
+    blocks = spark.createDataFrame([("a", 10), ("b", 6), ("c", 2), ("d", 2)], "source string, blocks long")
+    want = [(r.source, r.nth, r.slot) for r in mixing.schedule(mixing.shares(weights, 20)).orderBy("slot").collect()]
+    for stretch in (3, 512):
+        assert [tuple(r) for r in mixing.timetable(weights, blocks, stretch).orderBy("slot").collect()] == want
+
+
 ENGLISH = "the house of the people that were with them and then they have this".split()
 GERMAN = "der hund und die katze sind nicht auf dem haus mit der größe über".split()
 

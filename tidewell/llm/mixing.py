@@ -5,9 +5,10 @@ is released at floor((j - 1) / w) and due at ceil(j / w).  Each slot of the sche
 takes the released block that is due first, which keeps every source within one block
 of w * t after any number t of slots.
 
-Weights are whole parts of a period of ``PERIOD`` slots, so the schedule repeats: it is
-made once for one period, whose rows are bounded, and blocks find their slots by a join
-with it.
+``timetable`` takes releases and deadlines from the weights themselves, over all blocks of
+the table: one fold over the blocks (not their rows) in one task, whose length is the
+number of rows divided by ``BLOCK``.  ``shares`` and ``schedule`` are for a mixture that
+repeats: weights are rounded to whole parts of a period, made once.
 """
 
 from __future__ import annotations
@@ -15,12 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import gapless_rank
+from tidewell.llm.common import gapless_rank, materialize
 
 BLOCK = 16
 PERIOD = 1000
 #: Buckets in which a source's rows are numbered.
 BUCKETS = 512
+#: Blocks that the fold of ``timetable`` puts in one array, and blocks of a source in one row of the join.
+STRETCH = 512
+#: Units that the weights add up to: more than a double tells apart.
+UNITS = 2.0**60
+NEVER = 2**62
 
 
 def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -69,27 +75,113 @@ def schedule(parts: DataFrame) -> DataFrame:
     return slots.select(F.col("x.source").alias("source"), nth.alias("nth"), "slot", F.col("x.parts").alias("parts"), "period")
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def timetable(weights: DataFrame, blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(source, weight > 0) and (source, blocks) to (source, nth, slot): earliest-deadline-first over all blocks.
+
+    ``nth`` counts a source's blocks from 0.  Sources with a weight and no blocks keep their share of
+    the slots, which stay free unless a released block is there to take one.  With weight q / total in
+    whole units, j * total / q goes on by its quotient and its remainder, so nothing is rounded.  Whole
+    weights, as numbers of rows, are units themselves; others are exact to the precision of a double.
+    """
+    every = Window.partitionBy(F.lit(0))
+    w = F.col("weight").cast("double")
+    whole = F.min(w == F.floor(w)).over(every) & (F.sum(w).over(every) < F.lit(2.0**53))
+    scaled = F.greatest(F.round(w / F.sum(w).over(every) * F.lit(UNITS)).cast("long"), F.lit(1).cast("long"))
+    units = weights.select("source", F.when(whole, w.cast("long")).otherwise(scaled).alias("q"))
+    units = units.withColumn("total", F.sum("q").over(every))
+    rows = units.join(blocks.select(F.col("source").alias("_b"), F.col("blocks").cast("long").alias("blocks")), F.col("source") == F.col("_b")).where("blocks > 0")
+    a, r = F.expr("total div q"), F.col("total") % F.col("q")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    # Block number done + 1 is released at floor(done * total / q) and due at base, one later if rem > 0.
+    start = F.struct("source", "q", "blocks", a.alias("a"), r.alias("r"), zero.alias("done"), zero.alias("release"), a.alias("base"), r.alias("rem"))
+    state = rows.groupBy().agg(F.array_sort(F.collect_list(start)).alias("s"), F.sum("blocks").alias("n")).where("n > 0")
+
+    def due(x: Column) -> Column:
+        return x["base"] + F.when(x["rem"] > 0, one).otherwise(zero)
+
+    def advance(x: Column) -> Column:
+        carry = x["rem"] >= x["q"] - x["r"]
+        last = x["done"] + 1 >= x["blocks"]
+        return F.struct(
+            x["source"].alias("source"), x["q"].alias("q"), x["blocks"].alias("blocks"), x["a"].alias("a"), x["r"].alias("r"), (x["done"] + 1).alias("done"),
+            F.when(last, F.lit(NEVER)).otherwise(x["base"]).alias("release"),
+            F.when(last, x["base"]).otherwise(x["base"] + x["a"] + F.when(carry, one).otherwise(zero)).alias("base"),
+            F.when(carry, x["rem"] - (x["q"] - x["r"])).otherwise(x["rem"] + x["r"]).alias("rem"),
+        )
+
+    def step(now: Column, _: Column) -> Column:
+        def take(t: Column, i: Column) -> Column:
+            x = F.get(now["s"], i)
+            return F.struct(
+                (t + 1).alias("t"),
+                F.transform(now["s"], lambda y, k: F.when(k == i, advance(y)).otherwise(y)).alias("s"),
+                F.array_append(now["out"], F.struct(x["source"].alias("source"), x["done"].alias("nth"), t.alias("slot"))).alias("out"),
+            )
+
+        def at(t: Column) -> Column:
+            first = F.array_min(F.transform(now["s"], lambda x, i: F.when(x["release"] <= t, F.struct(due(x).alias("due"), i.alias("i")))))["i"]
+            return _let(first, lambda i: take(t, i))
+
+        # Where no block is released yet, slots stay free up to the next release.
+        return _let(F.greatest(now["t"], F.array_min(now["s"]["release"])), at)
+
+    empty = F.array().cast("array<struct<source:string,nth:bigint,slot:bigint>>")
+
+    def many(now: Column, c: Column) -> Column:
+        steps = F.sequence(c, F.least(c + stretch, F.col("n")) - 1)
+        begun = F.struct(now["t"].alias("t"), now["s"].alias("s"), empty.alias("out"))
+        return _let(F.aggregate(steps, begun, step), lambda x: F.struct(x["t"].alias("t"), x["s"].alias("s"), F.array_append(now["all"], x["out"]).alias("all")))
+
+    # A short array is appended to for each block, a long one for each stretch only.
+    begun = F.struct(zero.alias("t"), F.col("s"), F.array().cast("array<array<struct<source:string,nth:bigint,slot:bigint>>>").alias("all"))
+    run = state.select(F.aggregate(F.sequence(zero, F.col("n") - 1, F.lit(stretch).cast("long")), begun, many)["all"].alias("all"))
+    return run.select(F.explode("all").alias("part")).select(F.inline("part"))
+
+
 def natural_weights(docs: DataFrame, source: str = "source", power: float = 1.0) -> DataFrame:
     """(source, weight): number of rows to the power ``power``; 1 mixes evenly, less favours small sources."""
     return docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus mix_block, mix_slot and mix_row (long).
 
     ``mix_block`` numbers the blocks of a row's source, ``mix_slot`` is the slot of that
     block in the schedule, ``mix_row`` the row's place in the block: ordering by
     (mix_slot, mix_row) gives the mixture.  ``weights`` (source, weight) default to the
-    sources' sizes.  Rows of sources without a positive weight get nulls.  A source that
-    runs dry leaves its later slots free; no row is dropped or repeated.  Null sources
-    count as the source "".  Within a source rows are dealt out by a hash of the id.
+    sources' sizes.  Rows of sources without a positive weight get nulls.  Until it runs
+    dry, a source is within one block of weight * t after any t slots, however long the
+    table (see ``timetable``); no row is dropped or repeated.  With ``period`` the weights are rounded to
+    parts of it and the schedule repeats, so the bound holds for the rounded weights
+    only.  Null sources count as the source "".  Within a source rows are dealt out by a
+    hash of the id.
     """
     named = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     weights = natural_weights(docs, source) if weights is None else weights.where("weight > 0")
-    plan = schedule(shares(weights, period)).withColumnRenamed("source", "_s")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     bucket = F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("long") % BUCKETS
     ranked = gapless_rank(named, "_source", [F.col(id_col)], bucket, "_rank")
+    if period is not None:
+        return _place_in_period(docs, ranked, schedule(shares(weights, period)), block)
+    blocks = named.groupBy(F.col("_source").alias("source")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    # A stretch of a source's slots to a row: 8 bytes a block, or half a byte a document, are broadcast.
+    plan = timetable(weights, blocks).groupBy(F.col("source").alias("_s"), F.expr(f"nth div {STRETCH}").alias("_k")).agg(F.array_sort(F.collect_list("slot")).alias("_slots"))
+    # Written first, so that the fold, which takes longer with more rows, is no part of a broadcast's time.
+    plan = materialize(plan, "timetable")
+    number = F.expr(f"_rank div {block}")
+    placed = ranked.withColumn("_number", number).join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.expr(f"_number div {STRETCH}") == F.col("_k")), "left")
+    slot = F.get("_slots", (F.col("_number") % STRETCH).cast("int"))
+    has = F.col("_s").isNotNull()
+    return placed.select(*docs.columns, F.when(has, F.col("_number")).alias("mix_block"), slot.alias("mix_slot"), F.when(has, F.col("_rank") % block).alias("mix_row"))
+
+
+def _place_in_period(docs: DataFrame, ranked: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    plan = plan.withColumnRenamed("source", "_s")
     parts = plan.select(F.col("_s").alias("_s2"), F.col("parts").alias("_parts"), F.col("period").alias("_period")).distinct()
     # Both small sides have at most max(PERIOD, 4 per source) rows, whatever the documents.
     ranked = ranked.join(F.broadcast(parts), F.col("_source") == F.col("_s2"), "left").withColumn("mix_block", F.when(F.col("_parts").isNotNull(), F.floor(F.col("_rank") / block)))
