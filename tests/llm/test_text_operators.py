@@ -73,6 +73,18 @@ def test_secrets_of_many_owners_are_examples(spark):
     assert secrets.scan_secrets(frame(spark, texts).where("false"), F.col("source"), F.col("source")).count() == 0
 
 
+def test_secrets_report_owners_and_repositories(spark):
+    rows = [(i, "token=copied12345", "one", f"r{i}") for i in range(5)] + [(5, "token=rare123456 token=copied12345", "two", "r0"), (6, "no", "two", "r1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, who string, repo string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, F.col("who"), F.col("repo")).collect()}
+    assert (got[0].classes, got[0].n_owners, got[0].n_repositories) == ("live", "2", "6")
+    assert (got[5].classes, got[5].n_owners, got[5].n_repositories) == ("live,live", "1,2", "1,6")
+    assert (got[6].classes, got[6].n_owners, got[6].n_repositories) == ("", "", "")
+    for least, want in ((6, "live,example"), (7, "live,live")):
+        got = {r.doc_id: r for r in secrets.scan_secrets(df, F.col("who"), F.col("repo"), repositories_of_an_example=least).collect()}
+        assert got[5].classes == want and got[5].n_live == want.count("live")
+
+
 def test_pii_spans(spark):
     parts = ["a@b.co", "m_x@", "y-z.org", "@", ".", "..", "1.2.3.4", "256.1.1.1", "0001.02.003.4", "4111 1111 1111 1111", "4111111111111112", "-", " ", "+", "+44 (20) 7946-0958", "12", "é😀", "%", "x", "\n"]
     texts = AWKWARD + mixed_texts(parts)

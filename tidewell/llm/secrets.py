@@ -2,8 +2,8 @@
 
 Candidates come from three patterns.  Each candidate value is hashed, and the
 hashes are counted over the whole corpus by distinct repositories and owners: a
-value that many owners hold is a copied example, one that stays with a single
-owner looks like a live credential.  Counts are built up in three steps, (value,
+value that many owners (or, on demand, many repositories) hold is a copied example,
+one that stays with a single owner looks like a live credential.  Counts are built up in three steps, (value,
 owner, repository), then (value, owner), then (value), each with map-side
 partial sums, so a value found in a third of all rows costs one row per map task.
 """
@@ -61,13 +61,17 @@ def scan_secrets(
     id_col: str = "doc_id",
     text: str = "text",
     owners_of_an_example: int = OWNERS_OF_AN_EXAMPLE,
+    repositories_of_an_example: int | None = None,
 ) -> DataFrame:
     """One row per input row: counts per kind, spans, and how each candidate is held.
 
     Columns: id_col, n_assign, n_access, n_hex (long), candidates, spans (string),
     n_live and n_example (long), classes (string; ``live`` or ``example`` for each
-    span in the order of ``spans``).  A value is an example when at least
-    ``owners_of_an_example`` distinct owners hold it.
+    span in the order of ``spans``), n_owners and n_repositories (string; for each span
+    in that order, how many distinct owners and repositories hold its value).  A value
+    is an example when at least ``owners_of_an_example`` distinct owners hold it, or,
+    if it is given, at least ``repositories_of_an_example`` distinct repositories; the
+    same repository name under two owners is two repositories.
 
     Null or empty text: no spans, zero counts, empty strings.  Null owners count as
     one owner of their own, null repositories likewise.  A null or repeated id is
@@ -79,14 +83,22 @@ def scan_secrets(
     found = materialize(found, "secret-spans")
     each = found.where(F.size("candidates") > 0).select("_id", "owner", "repository", "spans", F.explode("candidates").alias("c"))
     each = each.select("_id", "owner", "repository", "spans", F.col("c.start").alias("start"), F.col("c.ord").alias("ord"), F.col("c.value_hash").alias("value_hash"))
-    frequency = ownership(each).withColumn("example", F.col("n_owners") >= owners_of_an_example).select("value_hash", "example")
-    judged = each.join(frequency, "value_hash").groupBy("_id", "spans", "start", "ord").agg(F.max("example").alias("example"))
+    example = F.col("n_owners") >= owners_of_an_example
+    if repositories_of_an_example is not None:
+        example = example | (F.col("n_repositories") >= repositories_of_an_example)
+    frequency = ownership(each).withColumn("example", example).select("value_hash", "example", "n_owners", "n_repositories")
+    judged = each.join(frequency, "value_hash").groupBy("_id", "spans", "start", "ord").agg(*(F.max(c).alias(c) for c in ("example", "n_owners", "n_repositories")))
+    mark = F.struct("start", "ord", F.when(F.col("example"), "example").otherwise("live").alias("class"), "n_owners", "n_repositories")
     per_doc = judged.groupBy("_id", "spans").agg(
         F.count_if(~F.col("example")).alias("n_live"),
         F.count_if("example").alias("n_example"),
-        F.array_sort(F.collect_list(F.struct("start", "ord", F.when(F.col("example"), "example").otherwise("live").alias("class")))).alias("marks"),
+        F.array_sort(F.collect_list(mark)).alias("marks"),
     )
-    per_doc = per_doc.select(F.col("_id").alias("_id2"), F.col("spans").alias("_spans2"), "n_live", "n_example", F.array_join(F.col("marks.class"), ",").alias("classes"))
+    held = {"classes": "class", "n_owners": "n_owners", "n_repositories": "n_repositories"}
+    per_doc = per_doc.select(
+        F.col("_id").alias("_id2"), F.col("spans").alias("_spans2"), "n_live", "n_example",
+        *(F.array_join(F.col(f"marks.{field}").cast("array<string>"), ",").alias(name) for name, field in held.items()),
+    )
     zero = F.lit(0).cast("long")
 
     def n(kind: str) -> Column:
@@ -95,5 +107,5 @@ def scan_secrets(
     out = found.join(per_doc, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("spans") == F.col("_spans2")), "left")
     return out.select(
         F.col("_id").alias(id_col), *(n(k) for k in KINDS), "candidates", "spans",
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"), F.coalesce("classes", F.lit("")).alias("classes"),
+        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"), *(F.coalesce(c, F.lit("")).alias(c) for c in held),
     )
