@@ -378,6 +378,20 @@ def test_marginals_against_all_taggings():
         assert np.allclose(got, (mass / total)[at])
 
 
+def test_training_windows_reach_the_end_of_a_document():
+    import pandas as pd
+
+    for n in (3, 8, 9, 12, 15, 17, 23, 100):
+        got = toxicity._spread(list(range(n)), 8)
+        assert len(got) == min(n, 8) and got[0] == 0 and got[-1] == n - 1
+        assert max(b - a for a, b in zip(got, got[1:], strict=False)) <= -(-(n - 1) // 7)
+    feature = toxicity.features("nasty")[0]
+    common = toxicity.features("house")[0]
+    text = " ".join((["house"] + ["the"] * 39) * 11 + ["nasty"])
+    made = next(toxicity._windows({common: 0, feature: 1}, {1})(iter([pd.DataFrame({"text": [text], "y": [1]})])))
+    assert len(made) == 8 and sum(len(t) for t in made["tags"]) >= 1
+
+
 def test_toxicity(spark):
     bad = ["nasty", "vileness", "scumbag"]
     rng = random.Random(5)

@@ -149,6 +149,12 @@ def marginals(model: dict, lengths: np.ndarray, at: list[np.ndarray], emit: list
     return result
 
 
+def _spread(items: list, most: int) -> list:
+    """At most ``most`` items, evenly over the whole list, with its first and last."""
+    n = len(items)
+    return items if n <= most else [items[i * (n - 1) // (most - 1)] for i in range(most)]
+
+
 def _windows(weight: dict[str, int], strong: set[int]):
     """Windows of the training texts as (tags, tokens' feature ids), sparse."""
 
@@ -165,7 +171,7 @@ def _windows(weight: dict[str, int], strong: set[int]):
                     if i >= end:
                         starts.append(max(0, i - i % (WINDOW // 2)))
                         end = starts[-1] + WINDOW
-                starts = starts[:: max(1, len(starts) // MAX_WINDOWS)][:MAX_WINDOWS] or [max(0, len(tokens) // 2 - WINDOW // 2)]
+                starts = _spread(starts, MAX_WINDOWS) or [max(0, len(tokens) // 2 - WINDOW // 2)]
                 for s in starts:
                     inside = [(i - s, f) for i in range(s, min(s + WINDOW, len(tokens))) for f in ids.get(i, ())]
                     tags = sorted({i for i, f in inside if y > 0 and f in strong})
