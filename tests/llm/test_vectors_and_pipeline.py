@@ -38,6 +38,13 @@ def test_vectors(spark, rows):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in bad)
 
 
+def test_vectors_of_another_length_isolate_only_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0] * 4), (8, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.dedup_vectors(df).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (0, 7, True), 8: (0, 8, True)}
+
+
 def test_vectors_of_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert {(r.n_links, r.component_id, r.kept) for r in embedding.dedup_vectors(df).collect()} == {(1, 1, True)}

@@ -108,23 +108,30 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ve
 
     Vectors are linked when their cosine, in double precision, is at least ``threshold``
     (above 0).  A vector that is null, zero, or holds null or non-finite numbers links
-    with nothing, nor does one whose length differs from the longest vector's or whose
-    id is null; such a row is its own component and kept.  Rows that repeat an id count
-    as vectors of their own.  Other columns are ignored.
+    with nothing, nor does one whose id is null; such a row is its own component and
+    kept.  Vectors of different lengths never link; each length that several vectors
+    have is compared by itself, one after the other.  Rows that repeat an id count as
+    vectors of their own.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
     element = vectors.schema[vector].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
     cast = "array<float>" if element == "float" else "array<double>"
     base = vectors.select(F.col(id_col).alias("_id"), F.col(vector).cast(cast).alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("x", lambda v: v != 0)
     base = base.withColumn("_d", F.when(F.col("_id").isNotNull() & F.coalesce(finite, F.lit(False)), F.size("x")).otherwise(0))
-    d = base.agg(F.max("_d")).first()[0] or 0
-    base = base.withColumn("_ok", (F.col("_d") == d) & (F.col("_d") > 0))
+    # One row per length; a length that one vector has can have no link.
+    lengths = [r["_d"] for r in base.where("_d > 0").groupBy("_d").count().where("count > 1").orderBy("_d").collect()]
+    alone = base.where(~F.col("_d").isin(lengths)).select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = alone
+    for d in lengths:
+        out = _compare_all(base.where(F.col("_d") == d), d, kind, threshold, tiles, tile_rows).union(out)
+    return out.withColumnRenamed("_id", id_col)
+
+
+def _compare_all(base: DataFrame, d: int, kind: str, threshold: float, tiles: int, tile_rows: int) -> DataFrame:
+    """(_id, n_links, component_id, kept) of the vectors x of ``base``, all valid and of length d."""
+    spark = base.sparkSession
     same = [F.xxhash64("x").alias("h1"), F.hash("x").alias("h2")]
-    alone = base.where(~F.col("_ok")).select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not d:
-        return alone.withColumnRenamed("_id", id_col)
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -133,7 +140,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ve
             flat = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), pa.array([r.tobytes() for r in flat], pa.binary())], names=["rep", "m", "v"])
 
-    classes = base.where("_ok").groupBy("x").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m"))
+    classes = base.groupBy("x").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m"))
     classes = materialize(classes.select("rep", "m", "x").mapInArrow(pack, "rep long, m long, v binary"), "vector-classes")
 
     def moments(batches: Iterator) -> Iterator:
@@ -209,8 +216,7 @@ def dedup_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "ve
     met = materialize(rows.groupBy("a", "b").applyInPandas(meet, "rep long, n long, root long"), "vector-links")
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     component = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    sizes = base.where("_ok").select("_id", *same).groupBy("h1", "h2").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m"))
+    sizes = base.select("_id", *same).groupBy("h1", "h2").agg(F.min("_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("m"))
     facts = sizes.join(counts, "rep", "left").join(component, "rep", "left")
     facts = facts.select("h1", "h2", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = base.where("_ok").select("_id", *same).join(facts, ["h1", "h2"]).select("_id", "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return good.union(alone).withColumnRenamed("_id", id_col)
+    return base.select("_id", *same).join(facts, ["h1", "h2"]).select("_id", "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
