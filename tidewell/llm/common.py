@@ -105,15 +105,17 @@ class Sealed:
 HEAVY = 2000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int | None = None) -> DataFrame:
     """Left join of ``rows`` with their group's facts; ``groups`` has one row per key and ``size`` rows in each.
 
     Fewer than HEAVY groups can hold more than 1 / HEAVY of the rows that ``size`` counts.
     Their facts are broadcast, so a group with a third of all rows is never dealt to one
     task; rows of all other groups are shuffled by key.  ``rows`` is read twice and keys
-    are not null; ``groups`` should be a written table.
+    are not null; ``groups`` should be a written table.  ``total`` is the sum of ``size``,
+    where the caller has it.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     facts = [c for c in groups.columns if c not in keys]
     heavy = F.col(size) * HEAVY > F.lit(total)
     theirs = groups.where(heavy).withColumnsRenamed({k: f"{k}__" for k in keys})
@@ -175,8 +177,8 @@ def gapless_rank(df: DataFrame, group: str, order: list[Column], bucket: Column,
     return joined.withColumn(name, F.col("_offset") + F.col("_rn") - 1).drop("_bucket", "_g", "_b", "_offset", "_rn")
 
 
-#: Bits of a filter at least and at most: 2 MB to 32 MB, whatever the input.
-FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 28
+#: Bits of a filter at least and at most: 2 MB to 8 MB, whatever the input.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 26
 
 
 def filter_bits(keys: int) -> int:

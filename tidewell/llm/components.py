@@ -2,8 +2,8 @@
 
 Each step replaces links by links to smaller neighbours; the links end as stars
 whose centre is the smallest node of the component.  Links are written out after
-every round, nodes and links never reach the driver, and a node with very many
-links is a join key that adaptive execution can split.
+every round, and nodes and links never reach the driver.  The smallest neighbours of nodes
+with very many links are broadcast, so their links stay spread over all tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import join_groups, materialize, release
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Up to this many links, the smallest neighbours of all nodes are small enough to broadcast (16 MB).
+BROADCAST_LINKS = 500_000
+
+
+def _large_star(links: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+    written = []
+    if n <= BROADCAST_LINKS:
+        moved = both.where("b > a").join(F.broadcast(low), "a")
+    else:
+        written.append(materialize(low, "links-low"))
+        moved = join_groups(both.where("b > a"), written[0], ["a"], "n", 2 * n)
+    return moved.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), written
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -40,7 +50,9 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        links = materialize(_small_star(_large_star(links)), "links")
+        star, written = _large_star(links, state[0])
+        before, links = links, materialize(_small_star(star), "links")
+        release(before, *written)
         now = links.agg(F.count(F.lit(1)), digest).first()
         if now == state:
             break

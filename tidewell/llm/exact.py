@@ -18,11 +18,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, probably_in, split_by_filter, width
+from tidewell.llm.common import Sealed, filter_bits, join_groups, materialize, probably_in, release, split_by_filter, width
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Fingerprints of one message at most; a partition with more sends several.
 CHUNK = 1 << 20
+#: Fingerprints of an owner at most (about); merging them takes some 200 MB.
+OWNED = 4 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -117,13 +119,27 @@ def _flagged(batches: Iterator) -> Iterator:
 def suspects(fingerprints: DataFrame, owners: int | None = None) -> DataFrame:
     """Distinct values of the long column ``fp`` that occur in more than one row.
 
-    ``owners`` defaults to the session's shuffle partitions.  Set it so that an owner
-    gets a few million fingerprints; it then needs some tens of MB.
+    ``owners`` defaults to the session's shuffle partitions, or more, so that an owner
+    gets OWNED fingerprints at most.
     """
-    owners = owners or width(fingerprints.sparkSession)
+    if owners is None:
+        owners = max(width(fingerprints.sparkSession), -(-fingerprints.count() // OWNED))
     sent = materialize(fingerprints.select("fp").mapInArrow(_messages(owners), "owner int, part string, sent binary, twice binary"), "exact-sent")
     bitmaps = sent.groupBy("owner").applyInPandas(_answer, "owner int, part string, bitmap binary")
-    return sent.join(bitmaps, ["owner", "part"]).select("sent", "bitmap").mapInArrow(_flagged, "fp long").distinct()
+    found = sent.join(bitmaps, ["owner", "part"]).select("sent", "bitmap").mapInArrow(_flagged, "fp long").distinct()
+    found = materialize(found, "exact-suspects")
+    release(sent)
+    return found
+
+
+def _groups(docs: DataFrame, id_col: str, text: str, owners: int | None) -> tuple[DataFrame, DataFrame]:
+    """(_id, text_sha256) of every row, and (text_sha256, keep_id, n) of the groups with copies."""
+    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text)).alias("_t"))
+    narrow = materialize(base.select("_id", F.xxhash64("_t").alias("fp"), F.sha2("_t", 256).alias("text_sha256")), "exact-fp")
+    flagged = suspects(narrow, owners)
+    texts = probably_in(base.withColumn("fp", F.xxhash64("_t")), flagged, "fp", filter_bits(flagged.count()))
+    equal = texts.groupBy("_t").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return narrow, materialize(equal.select(F.sha2("_t", 256).alias("text_sha256"), "keep_id", "n"), "exact-groups")
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
@@ -134,15 +150,10 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", own
     never the smallest unless all ids of its group are null; its row is kept only
     then.  Rows that repeat an id with the same text all carry that id, so all of
     them count as kept if it is the smallest; ``group_size`` counts rows.  Other
-    columns are ignored.
+    columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text)).alias("_t"))
-    narrow = materialize(base.select("_id", F.xxhash64("_t").alias("fp"), F.sha2("_t", 256).alias("text_sha256")), "exact-fp")
-    flagged = materialize(suspects(narrow, owners), "exact-suspects")
-    texts = probably_in(base.withColumn("fp", F.xxhash64("_t")), flagged, "fp")
-    equal = texts.groupBy("_t").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = equal.select(F.sha2("_t", 256).alias("text_sha256"), "keep_id", "n")
-    out = narrow.join(groups, "text_sha256", "left")
+    narrow, groups = _groups(docs, id_col, text, owners)
+    out = join_groups(narrow, groups, ["text_sha256"], "n")
     single = F.col("n").isNull()
     keep = F.when(single, F.col("_id")).otherwise(F.col("keep_id"))
     return out.select(
@@ -152,14 +163,16 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text: str = "text", own
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``dedup_exact`` keeps, all columns; of rows that repeat id and text, one.
+    """The rows of ``docs`` that ``dedup_exact`` keeps, all columns under their names; of rows that repeat id and text, one.
 
-    Only rows of groups with copies are shuffled, others pass through.
+    A group's rows other than those with its smallest id are dropped where they are
+    read; only the rows that stay for a group are shuffled, to keep one of them.
     """
-    found = dedup_exact(docs, id_col, text, owners).where("group_size > 1").groupBy(id_col, "text_sha256").agg(F.max("kept").alias("_kept"))
-    found = materialize(found, "exact-groups").withColumnsRenamed({id_col: "_i", "text_sha256": "_s"})
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text)), 256))
-    maybe, unique = split_by_filter(marked, found.select(F.col("_s").alias("_sha")), "_sha")
-    both = maybe.join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left")
-    kept = both.where("_kept").dropDuplicates([id_col, "_sha"])
-    return unique.select(*docs.columns).union(both.where("_kept IS NULL").select(*docs.columns)).union(kept.select(*docs.columns))
+    _, groups = _groups(docs, id_col, text, owners)
+    sealed = Sealed(docs)
+    marked = sealed.df.withColumn("_sha", F.sha2(normalised(sealed[text]), 256))
+    maybe, unique = split_by_filter(marked, groups.select(F.col("text_sha256").alias("_sha")), "_sha", filter_bits(groups.count()))
+    facts = groups.select(F.col("text_sha256").alias("_sha"), "keep_id", "n")
+    both = join_groups(maybe, facts, ["_sha"], "n")
+    kept = both.where(F.col("n").isNotNull() & sealed[id_col].eqNullSafe(F.col("keep_id"))).dropDuplicates(["_sha"])
+    return sealed.restored(unique.union(both.where("n IS NULL").select(*unique.columns)).union(kept.select(*unique.columns)))

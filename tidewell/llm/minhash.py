@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, probably_in, split_by_filter
+from tidewell.llm.common import Sealed, filter_bits, join_groups, materialize, probably_in, release, split_by_filter
 from tidewell.llm.components import connected_components
 from tidewell.llm.forest import Forest
 
@@ -75,28 +75,45 @@ def estimate(a: Column, b: Column, k: int = K) -> Column:
 
 
 class _Corpus:
-    """What the steps share: the texts, the class representatives' sketches, the threshold."""
+    """What the steps share: the texts, the classes of equal sets, the threshold.
+
+    A class is a node, numbered when the classes are written; ids only name results, so
+    they may repeat or be null.  Each class is read again from one row, its ``pick``.
+    """
 
     def __init__(self, texts: DataFrame, width: int, percent: int) -> None:
-        self.texts, self.width, self.percent = texts, width, percent
-        sets = with_shingles(texts, "_t", width)
+        self.width, self.percent = width, percent
+        self.texts = texts.withColumn("row", F.xxhash64(F.lit(3), "_id", "_t"))
+        sets = with_shingles(self.texts, "_t", width)
         self.rows = materialize(
-            sets.select("_id", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.slice("shingles", 1, K).alias("sketch")),
+            sets.select("_id", "row", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.slice("shingles", 1, K).alias("sketch")),
             "minhash-rows",
         )
         self.same = ["h1", "h2", "n"]
-        self.classes = self.rows.where("n > 0").groupBy(*self.same).agg(F.min("_id").alias("rep"))
+        classes = self.rows.where("n > 0").groupBy(*self.same).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.min("row").alias("pick"))
+        self.classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     def sketches(self) -> DataFrame:
-        reps = self.classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"), *self.same)
-        return self.rows.join(reps, ["_id", *self.same], "left_semi").select("_id", "n", "sketch")
+        """(_id, n, sketch) of the classes; from here on ``_id`` is the number of a class."""
+        picked = self.classes.select(*self.same, F.col("pick").alias("row"), F.col("node"))
+        # Rows that repeat id and text share a pick; the join's partitioning serves to drop them.
+        found = self.rows.join(picked, [*self.same, "row"]).dropDuplicates([*self.same, "row"])
+        return found.select(F.col("node").alias("_id"), "n", "sketch")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(_id, shingles, n) of class representatives among ``ids``, read again from their texts."""
-        reps = self.classes.select(F.col("rep").alias("_id"), *self.same)
-        near = with_shingles(probably_in(self.texts, ids, "_id"), "_t", self.width)
-        near = near.select("_id", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"))
-        return near.join(ids.distinct(), "_id", "left_semi").join(reps, ["_id", *self.same], "left_semi").select("_id", "shingles", "n")
+        """(_id, shingles, n) of the classes among ``ids``, read again from their texts."""
+        picked = self.classes.select(*self.same, F.col("pick").alias("row"), F.col("node").alias("_id")).join(ids.distinct(), "_id", "left_semi")
+        near = with_shingles(probably_in(self.texts.select("_t", "row"), picked, "row"), "_t", self.width)
+        near = near.select("row", "shingles", F.size("shingles").cast("long").alias("n"), F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"))
+        return near.join(picked, [*self.same, "row"]).dropDuplicates([*self.same, "row"]).select("_id", "shingles", "n")
+
+    def components(self, found: DataFrame) -> DataFrame:
+        """(h1, h2, n, members, component_id) of all classes, from (node, component) of the linked ones."""
+        linked = materialize(self.classes.join(found, "node"), "minhash-linked")
+        names = linked.groupBy("component").agg(F.min("rep").alias("name"), F.count(F.lit(1)).alias("size"))
+        named = join_groups(linked.select("node", "component"), materialize(names, "minhash-names"), ["component"], "size").select("node", "name", F.lit(True).alias("in"))
+        every = self.classes.join(named, "node", "left")
+        return every.select(*self.same, "members", F.when(F.col("in"), F.col("name")).otherwise(F.col("rep")).alias("component_id"))
 
     def similar(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sketches do not rule the threshold out."""
@@ -198,19 +215,22 @@ def _within_families(corpus: _Corpus, rest: DataFrame) -> DataFrame:
     def parts(count: Column, size: Column) -> Column:
         return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
+    # Sets more than one band of sizes apart cannot reach the threshold.
+    docs = docs.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / max(math.log(100 / corpus.percent), 1e-3) + 1e-9).cast("int"))
     # A component that fills blocks of its own is not compared with itself; the others share blocks.
-    each = docs.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    each = docs.groupBy("family", "band", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     each = each.withColumn("whole", (F.col("c") * 2 >= BLOCK_SETS) | (F.col("w") * 2 >= BLOCK_SHINGLES)).withColumn("parts", parts(F.col("c"), F.col("w")))
-    shared = each.where("NOT whole").groupBy("family").agg(parts(F.sum("c"), F.sum("w")).alias("shared"))
-    each = each.join(shared, "family", "left").select("family", "component", "whole", F.coalesce(F.when(F.col("whole"), F.col("parts")), F.col("shared"), F.lit(1)).alias("parts"))
+    shared = each.where("NOT whole").groupBy("family", "band").agg(parts(F.sum("c"), F.sum("w")).alias("shared"))
+    each = each.join(shared, ["family", "band"], "left").select("family", "band", "component", "whole", F.coalesce(F.when(F.col("whole"), F.col("parts")), F.col("shared"), F.lit(1)).alias("parts"))
     number = F.pmod(F.xxhash64(F.when(F.col("whole"), F.col("_id")).otherwise(F.col("component"))), F.col("parts")).cast("int")
-    placed = docs.join(each, ["family", "component"]).withColumn("part", number).withColumn("own", F.when(F.col("whole"), F.col("component")))
-    placed = materialize(placed.select("_id", "n", "component", "family", "part", "own"), "minhash-blocks")
-    block = F.struct(F.coalesce(F.col("own"), F.lit(-1).cast("long")).alias("own"), F.col("own").isNull().alias("mixed"), F.col("part")).alias("block")
+    placed = docs.join(each, ["family", "band", "component"]).withColumn("part", number).withColumn("own", F.when(F.col("whole"), F.col("component")))
+    placed = materialize(placed.select("_id", "n", "component", "family", "band", "part", "own"), "minhash-blocks")
+    block = F.struct("band", F.coalesce(F.col("own"), F.lit(-1).cast("long")).alias("own"), F.col("own").isNull().alias("mixed"), F.col("part")).alias("block")
     blocks = placed.select("family", block, "own").distinct()
     one = blocks.select("family", F.col("block").alias("p"), F.col("own").alias("op"))
     two = blocks.select(F.col("family").alias("f2"), F.col("block").alias("q"), F.col("own").alias("oq"))
-    pairs = one.join(two, (F.col("family") == F.col("f2")) & (F.col("p") <= F.col("q")) & (F.col("op").isNull() | F.col("oq").isNull() | (F.col("op") != F.col("oq")))).select("family", "p", "q")
+    near = (F.col("q.band") - F.col("p.band")).between(0, 1)
+    pairs = one.join(two, (F.col("family") == F.col("f2")) & (F.col("p") <= F.col("q")) & near & (F.col("op").isNull() | F.col("oq").isNull() | (F.col("op") != F.col("oq")))).select("family", "p", "q")
     with_sets = placed.select("_id", "component", "family", block).join(corpus.sets_of(placed.select("_id")), "_id")
     first = with_sets.join(pairs.withColumn("block", F.col("p")), ["family", "block"]).withColumn("side", F.lit(1))
     second = with_sets.join(pairs.where("p <> q").withColumn("block", F.col("q")), ["family", "block"]).withColumn("side", F.lit(2))
@@ -224,12 +244,22 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     Sets of shingles of ``width`` words are linked when 100 * intersection >=
     ``percent`` * union; a component is what links connect, named by its smallest id.
     A text with fewer words than ``width`` has the whole sequence as its only shingle;
-    one without words (or null) has none and is linked with nothing.  A row with a null
-    id is linked with nothing it could name: its component is that of its set, null if
-    all rows of the set lack ids, and then it is kept.  Rows that repeat an id each
-    follow their own text.  Other columns are ignored.
+    one without words (or null) has none and is linked with nothing.  Rows that repeat
+    an id each follow their own text.  A row with a null id follows its text too and is
+    never kept beside a row with an id; a component in which all ids are null is named
+    null, and all its rows count as kept.  Other columns are ignored, whatever their names.
     """
     corpus = _Corpus(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")), width, percent)
+    found = _linked(corpus)
+    by_class = materialize(corpus.components(found), "minhash-named")
+    sets, none = corpus.rows.where("n > 0").select("_id", *corpus.same), corpus.rows.where("n = 0").select("_id", *corpus.same)
+    out = join_groups(sets, by_class, corpus.same, "members").select("_id", "n", "component_id").union(none.select("_id", "n", F.col("_id").alias("component_id")))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(corpus: _Corpus) -> DataFrame:
+    """(node, component) of the classes that links connect."""
+    percent = corpus.percent
     sketches = materialize(corpus.sketches(), "minhash-sketches")
     lists = sketches.where("n >= 4").select("_id", F.col("n").cast("int").alias("n"), F.explode(_keys(F.col("sketch"), F.col("n"))).alias("key"))
     heads = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("_id", "n")).alias("low")).where("size > 1")
@@ -238,7 +268,9 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
 
     pairs = members.where(_sized("n", "low_n", percent)).select(F.col("_id").alias("a"), F.col("low").alias("b")).distinct()
     pairs = materialize(corpus.similar(pairs, sketches), "minhash-pairs")
+    release(sketches)
     links = materialize(corpus.verified(pairs), "minhash-links")
+    release(pairs)
     found = materialize(connected_components(links), "minhash-components")
 
     label = found.select(F.col("node").alias("_id"), F.col("component"))
@@ -246,26 +278,32 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     open_rows = members.where("size > 2").join(label, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     mixed = open_rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
     mixed_rows = materialize(open_rows.join(mixed, "key", "left_semi").select("key", "_id", "n", "size", "component"), "minhash-mixed")
+    release(members)
     by_length = Window.partitionBy("_id").orderBy("size", "key")
     shared = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * 0.4 - 2)))
     ranked = mixed_rows.withColumn("_r", F.row_number().over(by_length)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("_id")))
     rest = materialize(ranked.where(F.col("_r") <= F.col("_m") - shared + 1).drop("_r", "_m"), "minhash-rest")
+    release(mixed_rows)
     added = materialize(_within_families(corpus, rest), "minhash-links")
     if not added.isEmpty():
-        links = links.union(added)
-        found = materialize(connected_components(links), "minhash-components")
-
-    by_class = corpus.classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    by_class = by_class.select(*corpus.same, F.coalesce("component", "rep").alias("component_id"))
-    out = corpus.rows.select("_id", *corpus.same).join(by_class, corpus.same, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+        found = materialize(connected_components(links.union(added)), "minhash-components")
+    release(rest, added, links)
+    return found
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``dedup_near`` keeps, all columns.  Rows with the same id stay or go together."""
-    verdict = dedup_near(docs.select(id_col, text), id_col, text, width, percent)
-    gone = verdict.groupBy(id_col).agg(F.max("kept").alias("_kept")).where("NOT _kept").select(id_col)
-    gone = materialize(gone, "minhash-gone")
-    maybe, others = split_by_filter(docs, gone, id_col)
-    return others.union(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
+    """The rows of ``docs`` that ``dedup_near`` keeps, all columns under their names.
+
+    Rows are told apart by id and text: a unique text stays even if its id is repeated,
+    and rows that repeat both stay or go together.
+    """
+    sealed = Sealed(docs)
+    rows = sealed.df.withColumn("_row", F.xxhash64(F.lit(3), sealed[id_col], sealed[text]))
+    corpus = _Corpus(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")), width, percent)
+    by_class = materialize(corpus.components(_linked(corpus)), "minhash-named")
+    judged = join_groups(corpus.rows.where("n > 0").select("_id", "row", *corpus.same), by_class, corpus.same, "members")
+    gone = materialize(judged.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_row"), "_id").distinct(), "minhash-gone")
+    maybe, others = split_by_filter(rows, gone.select("_row"), "_row", filter_bits(gone.count()))
+    theirs = gone.withColumnsRenamed({"_row": "_row2", "_id": "_id2"})
+    left = maybe.join(theirs, (F.col("_row") == F.col("_row2")) & sealed[id_col].eqNullSafe(F.col("_id2")), "left_anti")
+    return sealed.restored(others.union(left))
