@@ -44,17 +44,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back, so lineage ends there.
 
     The copy is a table in shared storage: losing an executor costs only the
-    tasks it was running.  Copies go with the ``scratch_scope`` around them, or by
-    ``release``, or when the driver exits.
+    tasks it was running.  Copies go with the ``scratch_scope`` around them (unless
+    they are ``lasting``), or by ``release``, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if (scope := _SCOPE.get()) is None:
+    if (scope := _SCOPE.get()) is None or lasting:
         atexit.register(_remove, spark, path)
     else:
         scope.append(path)
@@ -92,7 +92,11 @@ class Sealed:
         self.columns = self.df.columns
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"c{self.names.index(name)}")
+        return F.col(self.names_of(name))
+
+    def names_of(self, name: str) -> str:
+        """The working name of a column of the caller's."""
+        return f"c{self.names.index(name)}"
 
     def restored(self, df: DataFrame, **more: Column) -> DataFrame:
         """The caller's columns under their names, then ``more``; a column of the caller's named like one of them gives way."""

@@ -1,14 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame operations only).
 
-A source is cut into blocks of ``BLOCK`` rows.  With weight w, its j-th block (from 1)
-is released at floor((j - 1) / w) and due at ceil(j / w).  Each slot of the schedule
-takes the released block that is due first, which keeps every source within one block
-of w * t after any number t of slots.
-
-``timetable`` takes releases and deadlines from the weights themselves, over all blocks of
-the table: one fold over the blocks (not their rows) in one task, whose length is the
-number of rows divided by ``BLOCK``.  ``shares`` and ``schedule`` are for a mixture that
-repeats: weights are rounded to whole parts of a period, made once.
+A source is cut into blocks of at most ``BLOCK`` rows.  A period holds p blocks of a
+source, and the p's of all sources add up to its slots.  Block j of p (from 0) is
+released at floor(j * slots / p) and due at ceil((j + 1) * slots / p); each slot takes
+the released block that is due first.  So after any t slots a source has had less than
+one block more or less than p * t / slots.
+
+Only whole blocks are scheduled, but nothing is rounded away: a source's blocks hold as
+many rows as its exact weight asks for.  With ``quota`` rows a period, period m holds the
+rows from floor(m * quota) to floor((m + 1) * quota), dealt evenly to its p blocks.  Every
+period has the same slots, so the schedule is made once, and a row's place follows from
+its rank by arithmetic.  However long the table, a source stays within one block of its
+target weight.
+
+Sources that need one block a period or less are released at its start and due at its
+end: they take the slots that the others leave free, without being part of the schedule's
+fold, so there may be very many of them.
 """
 
 from __future__ import annotations
@@ -16,63 +23,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import gapless_rank, materialize
+from tidewell.llm.common import Sealed, gapless_rank, materialize
 
 BLOCK = 16
+#: A period holds this many blocks' worth of rows.
 PERIOD = 1000
 #: Buckets in which a source's rows are numbered.
 BUCKETS = 512
-#: Blocks that the fold of ``timetable`` puts in one array, and blocks of a source in one row of the join.
+#: Quotas are whole numbers of 1 / UNIT rows a period: an error below 1 row in 2^23 periods.
+UNIT = 1 << 22
+#: Slots that the schedule's fold puts in one array.
 STRETCH = 512
-#: Units that the weights add up to: more than a double tells apart.
-UNITS = 2.0**60
-NEVER = 2**62
 
 
-def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, weight > 0) to (source, k, parts): parts of the period, at least 1 each, by largest remainder.
+def quotas(weights: DataFrame, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(source, weight > 0) to (source, k, q, p, slots): rows a period in units, blocks a period, slots of the period.
 
-    The period grows to 4 slots per source if that is more; ``period`` is a column too.
-    Sources are few: one row for each is put in order here.
+    Sources are numbered by ``k`` in order of their names; one row for each is put in sequence here.
     """
     every = Window.partitionBy(F.lit(0))
     rows = weights.select("source", F.col("weight").cast("double").alias("weight"))
-    rows = rows.withColumn("period", F.greatest(F.lit(period), (F.count(F.lit(1)).over(every) * 4).cast("int")))
-    # One part is set aside for each source, the others follow the weights.
-    spare = F.col("period") - F.count(F.lit(1)).over(every)
-    exact = F.col("weight") / F.sum("weight").over(every) * F.col("period")
-    over = F.greatest(exact - 1, F.lit(0.0))
-    rows = rows.withColumn("over", over).withColumn("spare", spare)
-    rows = rows.withColumn("wide", F.when(F.sum("over").over(every) > 0, F.col("over") / F.sum("over").over(every) * F.col("spare")).otherwise(F.col("spare") / F.count(F.lit(1)).over(every)))
-    rows = rows.withColumn("whole", F.floor("wide"))
-    left = F.col("spare") - F.sum("whole").over(every)
-    rows = rows.withColumn("left", left)
-    by_rest = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("wide") - F.col("whole")), F.col("source"))
-    rows = rows.withColumn("parts", (1 + F.col("whole") + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)).cast("int"))
-    return rows.select("source", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).alias("k"), "parts", "period")
-
-
-def schedule(parts: DataFrame) -> DataFrame:
-    """Earliest-deadline-first over one period: (source, nth, slot, parts, period); nth counts a source's blocks from 0."""
-    one = parts.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", "source", "parts"))).alias("s"), F.max("period").alias("period"))
-    period = F.col("period")
-
-    def step(state: Column, t: Column) -> Column:
-        def offer(x: Column, i: Column) -> Column:
-            done = F.get(state["done"], i)
-            released = F.floor(done * period / x["parts"]) <= t
-            due = F.ceil((done + 1) * period / x["parts"])
-            return F.when(released & (done < x["parts"]), F.struct(due.alias("due"), i.alias("i")))
-
-        pick = F.array_min(F.transform("s", offer))["i"]
-        done = F.transform(state["done"], lambda d, i: F.when(i == pick, d + 1).otherwise(d))
-        return F.struct(done.alias("done"), F.array_append(state["order"], pick).alias("order"))
-
-    zero = F.struct(F.transform("s", lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
-    run = one.select("s", "period", F.aggregate(F.sequence(F.lit(0), period - 1), zero, step)["order"].alias("order"))
-    slots = run.select("s", "period", F.posexplode("order").alias("slot", "k")).select(F.get("s", F.col("k")).alias("x"), "slot", "period")
-    nth = F.row_number().over(Window.partitionBy("x.source").orderBy("slot")) - 1
-    return slots.select(F.col("x.source").alias("source"), nth.alias("nth"), "slot", F.col("x.parts").alias("parts"), "period")
+    quota = F.col("weight") / F.sum("weight").over(every) * float(block * period)
+    rows = rows.withColumn("quota", quota)
+    # Blocks are two rows short, so that with what rounding adds they hold ``block`` at most.
+    rows = rows.select(
+        "source",
+        F.greatest(F.round(F.col("quota") * float(UNIT)).cast("long"), F.lit(1).cast("long")).alias("q"),
+        F.greatest(F.ceil(F.col("quota") / float(max(1, block - 2))).cast("long"), F.lit(1).cast("long")).alias("p"),
+    )
+    return rows.select("source", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source")) - 1).alias("k"), "q", "p", F.sum("p").over(every).alias("slots"))
 
 
 def _let(value: Column, then) -> Column:
@@ -80,67 +59,41 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def timetable(weights: DataFrame, blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(source, weight > 0) and (source, blocks) to (source, nth, slot): earliest-deadline-first over all blocks.
-
-    ``nth`` counts a source's blocks from 0.  Sources with a weight and no blocks keep their share of
-    the slots, which stay free unless a released block is there to take one.  With weight q / total in
-    whole units, j * total / q goes on by its quotient and its remainder, so nothing is rounded.  Whole
-    weights, as numbers of rows, are units themselves; others are exact to the precision of a double.
-    """
-    every = Window.partitionBy(F.lit(0))
-    w = F.col("weight").cast("double")
-    whole = F.min(w == F.floor(w)).over(every) & (F.sum(w).over(every) < F.lit(2.0**53))
-    scaled = F.greatest(F.round(w / F.sum(w).over(every) * F.lit(UNITS)).cast("long"), F.lit(1).cast("long"))
-    units = weights.select("source", F.when(whole, w.cast("long")).otherwise(scaled).alias("q"))
-    units = units.withColumn("total", F.sum("q").over(every))
-    rows = units.join(blocks.select(F.col("source").alias("_b"), F.col("blocks").cast("long").alias("blocks")), F.col("source") == F.col("_b")).where("blocks > 0")
-    a, r = F.expr("total div q"), F.col("total") % F.col("q")
+def schedule(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """What ``quotas`` gives to (source, slots of its blocks in a period, in order): earliest deadline first."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    # Block number done + 1 is released at floor(done * total / q) and due at base, one later if rem > 0.
-    start = F.struct("source", "q", "blocks", a.alias("a"), r.alias("r"), zero.alias("done"), zero.alias("release"), a.alias("base"), r.alias("rem"))
-    state = rows.groupBy().agg(F.array_sort(F.collect_list(start)).alias("s"), F.sum("blocks").alias("n")).where("n > 0")
-
-    def due(x: Column) -> Column:
-        return x["base"] + F.when(x["rem"] > 0, one).otherwise(zero)
-
-    def advance(x: Column) -> Column:
-        carry = x["rem"] >= x["q"] - x["r"]
-        last = x["done"] + 1 >= x["blocks"]
-        return F.struct(
-            x["source"].alias("source"), x["q"].alias("q"), x["blocks"].alias("blocks"), x["a"].alias("a"), x["r"].alias("r"), (x["done"] + 1).alias("done"),
-            F.when(last, F.lit(NEVER)).otherwise(x["base"]).alias("release"),
-            F.when(last, x["base"]).otherwise(x["base"] + x["a"] + F.when(carry, one).otherwise(zero)).alias("base"),
-            F.when(carry, x["rem"] - (x["q"] - x["r"])).otherwise(x["rem"] + x["r"]).alias("rem"),
-        )
-
-    def step(now: Column, _: Column) -> Column:
-        def take(t: Column, i: Column) -> Column:
-            x = F.get(now["s"], i)
-            return F.struct(
-                (t + 1).alias("t"),
-                F.transform(now["s"], lambda y, k: F.when(k == i, advance(y)).otherwise(y)).alias("s"),
-                F.array_append(now["out"], F.struct(x["source"].alias("source"), x["done"].alias("nth"), t.alias("slot"))).alias("out"),
-            )
-
-        def at(t: Column) -> Column:
-            first = F.array_min(F.transform(now["s"], lambda x, i: F.when(x["release"] <= t, F.struct(due(x).alias("due"), i.alias("i")))))["i"]
-            return _let(first, lambda i: take(t, i))
-
-        # Where no block is released yet, slots stay free up to the next release.
-        return _let(F.greatest(now["t"], F.array_min(now["s"]["release"])), at)
-
-    empty = F.array().cast("array<struct<source:string,nth:bigint,slot:bigint>>")
+    start = F.struct("k", "p", zero.alias("done"))
+    state = rows.groupBy().agg(F.array_sort(F.collect_list(F.when(F.col("p") > 1, start))).alias("s"), F.max("slots").alias("slots")).where("slots > 0")
 
-    def many(now: Column, c: Column) -> Column:
-        steps = F.sequence(c, F.least(c + stretch, F.col("n")) - 1)
-        begun = F.struct(now["t"].alias("t"), now["s"].alias("s"), empty.alias("out"))
-        return _let(F.aggregate(steps, begun, step), lambda x: F.struct(x["t"].alias("t"), x["s"].alias("s"), F.array_append(now["all"], x["out"]).alias("all")))
+    def step(now: Column, t: Column) -> Column:
+        def offer(x: Column, i: Column) -> Column:
+            released = F.floor(x["done"] * F.col("slots") / x["p"]) <= t
+            due = F.ceil((x["done"] + one) * F.col("slots") / x["p"])
+            return F.when(released & (x["done"] < x["p"]), F.struct(due.alias("due"), i.alias("i")))
+
+        def take(i: Column) -> Column:
+            moved = F.transform(now["s"], lambda x, j: F.when(j == i, F.struct(x["k"].alias("k"), x["p"].alias("p"), (x["done"] + one).alias("done"))).otherwise(x))
+            return F.struct(moved.alias("s"), F.array_append(now["out"], F.get(now["s"], i)["k"]).alias("out"))
 
-    # A short array is appended to for each block, a long one for each stretch only.
-    begun = F.struct(zero.alias("t"), F.col("s"), F.array().cast("array<array<struct<source:string,nth:bigint,slot:bigint>>>").alias("all"))
-    run = state.select(F.aggregate(F.sequence(zero, F.col("n") - 1, F.lit(stretch).cast("long")), begun, many)["all"].alias("all"))
-    return run.select(F.explode("all").alias("part")).select(F.inline("part"))
+        return _let(F.array_min(F.transform(now["s"], offer))["i"], take)
+
+    empty = F.array().cast("array<int>")
+
+    def many(now: Column, c: Column) -> Column:
+        steps = F.sequence(c, F.least(c + stretch, F.col("slots")) - 1)
+        begun = F.struct(now["s"].alias("s"), empty.alias("out"))
+        return _let(F.aggregate(steps, begun, step), lambda x: F.struct(x["s"].alias("s"), F.array_append(now["all"], x["out"]).alias("all")))
+
+    # A short array is appended to for each slot, a long one for each stretch only.
+    begun = F.struct(F.col("s"), F.array().cast("array<array<int>>").alias("all"))
+    run = state.select(F.aggregate(F.sequence(zero, F.col("slots") - 1, F.lit(stretch).cast("long")), begun, many)["all"].alias("all"))
+    taken = run.select(F.posexplode("all").alias("c", "part")).select("c", F.posexplode("part").alias("at", "k"))
+    taken = materialize(taken.select((F.col("c") * stretch + F.col("at")).cast("long").alias("slot"), "k"), "mixing-slots")
+    alone = Window.partitionBy(F.lit(0))
+    free = taken.where("k IS NULL").select("slot", F.row_number().over(alone.orderBy("slot")).alias("nth"))
+    light = rows.where("p = 1").select("k", F.row_number().over(alone.orderBy("k")).alias("nth"))
+    every = taken.where("k IS NOT NULL").select("k", "slot").union(light.join(free, "nth").select("k", "slot"))
+    return rows.join(every.groupBy("k").agg(F.array_sort(F.collect_list("slot")).alias("at")), "k").select("source", "at")
 
 
 def natural_weights(docs: DataFrame, source: str = "source", power: float = 1.0) -> DataFrame:
@@ -148,44 +101,36 @@ def natural_weights(docs: DataFrame, source: str = "source", power: float = 1.0)
     return docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """All rows and columns of ``docs`` plus mix_block, mix_slot and mix_row (long).
 
     ``mix_block`` numbers the blocks of a row's source, ``mix_slot`` is the slot of that
     block in the schedule, ``mix_row`` the row's place in the block: ordering by
     (mix_slot, mix_row) gives the mixture.  ``weights`` (source, weight) default to the
-    sources' sizes.  Rows of sources without a positive weight get nulls.  Until it runs
-    dry, a source is within one block of weight * t after any t slots, however long the
-    table (see ``timetable``); no row is dropped or repeated.  With ``period`` the weights are rounded to
-    parts of it and the schedule repeats, so the bound holds for the rounded weights
-    only.  Null sources count as the source "".  Within a source rows are dealt out by a
-    hash of the id.
+    sources' sizes.  Rows of sources without a positive weight get nulls; sources with a
+    weight and no rows leave their slots empty.  A slot stands for ``block`` * ``period``
+    rows shared out over the slots of a period, and until it runs dry a source has after
+    any number of slots less than ``block`` rows more or less than its exact share of
+    that; no row is dropped or repeated.  Null sources count as the source "".  Within a
+    source rows are dealt out by a hash of the id.  Columns of ``docs`` keep their names,
+    but for those named like the three outputs, which give way.
     """
-    named = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    weights = natural_weights(docs, source) if weights is None else weights.where("weight > 0")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    sealed = Sealed(docs)
+    named = sealed.df.withColumn("_source", F.coalesce(sealed[source].cast("string"), F.lit("")))
+    weights = natural_weights(docs, source) if weights is None else weights.where("weight > 0 AND source IS NOT NULL")
+    rows = materialize(quotas(weights, block, period), "mixing-quotas")
+    plan = materialize(rows.join(schedule(rows), "source"), "mixing-plan")
+    key = F.coalesce(sealed[id_col].cast("string"), F.lit("null"))
     bucket = F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("long") % BUCKETS
-    ranked = gapless_rank(named, "_source", [F.col(id_col)], bucket, "_rank")
-    if period is not None:
-        return _place_in_period(docs, ranked, schedule(shares(weights, period)), block)
-    blocks = named.groupBy(F.col("_source").alias("source")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    # A stretch of a source's slots to a row: 8 bytes a block, or half a byte a document, are broadcast.
-    plan = timetable(weights, blocks).groupBy(F.col("source").alias("_s"), F.expr(f"nth div {STRETCH}").alias("_k")).agg(F.array_sort(F.collect_list("slot")).alias("_slots"))
-    # Written first, so that the fold, which takes longer with more rows, is no part of a broadcast's time.
-    plan = materialize(plan, "timetable")
-    number = F.expr(f"_rank div {block}")
-    placed = ranked.withColumn("_number", number).join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.expr(f"_number div {STRETCH}") == F.col("_k")), "left")
-    slot = F.get("_slots", (F.col("_number") % STRETCH).cast("int"))
-    has = F.col("_s").isNotNull()
-    return placed.select(*docs.columns, F.when(has, F.col("_number")).alias("mix_block"), slot.alias("mix_slot"), F.when(has, F.col("_rank") % block).alias("mix_row"))
-
-
-def _place_in_period(docs: DataFrame, ranked: DataFrame, plan: DataFrame, block: int) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "_s")
-    parts = plan.select(F.col("_s").alias("_s2"), F.col("parts").alias("_parts"), F.col("period").alias("_period")).distinct()
-    # Both small sides have at most max(PERIOD, 4 per source) rows, whatever the documents.
-    ranked = ranked.join(F.broadcast(parts), F.col("_source") == F.col("_s2"), "left").withColumn("mix_block", F.when(F.col("_parts").isNotNull(), F.floor(F.col("_rank") / block)))
-    placed = ranked.join(F.broadcast(plan), (F.col("_source") == F.col("_s")) & (F.col("mix_block") % F.col("_parts") == F.col("nth")), "left")
-    slot = (F.floor(F.col("mix_block") / F.col("_parts")) * F.col("_period") + F.col("slot")).cast("long")
-    row = F.when(F.col("_parts").isNotNull(), F.col("_rank") % block)
-    return placed.select(*docs.columns, F.col("mix_block").cast("long"), slot.alias("mix_slot"), row.cast("long").alias("mix_row"))
+    facts = plan.select(F.col("source").alias("_g"), "q", "p", "slots", "at")
+    ranked = gapless_rank(named, "_source", [sealed[id_col]], bucket, "_rank", facts)
+    # Whole numbers throughout: the row's period, the rows of that period, its block there.
+    ranked = ranked.withColumn("_m", F.expr(f"((_rank + 1) * {UNIT} - 1) div q"))
+    ranked = ranked.withColumn("_off", F.expr(f"_rank - (_m * q) div {UNIT}")).withColumn("_n", F.expr(f"((_m + 1) * q) div {UNIT} - (_m * q) div {UNIT}"))
+    ranked = ranked.withColumn("_j", F.expr("((_off + 1) * p - 1) div _n"))
+    return sealed.restored(
+        ranked,
+        mix_block=F.expr("_m * p + _j"),
+        mix_slot=F.expr("_m * slots") + F.get("at", F.col("_j").cast("int")),
+        mix_row=F.expr("_off - (_j * _n) div p"),
+    )

@@ -22,8 +22,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = secrets.scan_secrets(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "classes")
+    found = secrets.scan_secrets(docs, owner=F.col("source"), repository=F.col("lang"), repositories_of_an_example=secrets.REPOSITORIES_OF_AN_EXAMPLE)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "classes", "n_owners", "n_repositories")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,24 +155,27 @@ FROM b
 """
 
 
-#: Weights, parts of a period, the schedule as a recursion over its slots, and the rows' places in it.
+#: Quotas, the schedule of a period as a recursion over its slots, and the rows' places in it.
 _MIXING = f"""
 WITH RECURSIVE w AS (SELECT coalesce(source, '') AS source, pow(count(*)::DOUBLE, 0.5) AS weight FROM documents GROUP BY 1),
-  p0 AS (SELECT *, greatest({mixing.PERIOD}, count(*) OVER () * 4) AS period, count(*) OVER () AS k FROM w),
-  p1 AS (SELECT *, greatest(weight / sum(weight) OVER () * period - 1, 0.0) AS over_ FROM p0),
-  p2 AS (SELECT *, CASE WHEN sum(over_) OVER () > 0 THEN over_ / sum(over_) OVER () * (period - k) ELSE (period - k) / k END AS wide FROM p1),
-  p3 AS (SELECT *, (period - k) - sum(floor(wide)) OVER () AS left_ FROM p2),
-  p4 AS (SELECT source, period, (1 + floor(wide) + CASE WHEN row_number() OVER (ORDER BY wide - floor(wide) DESC, source) <= left_ THEN 1 ELSE 0 END)::BIGINT AS parts FROM p3),
-  pl AS (SELECT list(source ORDER BY source) AS sources, list(parts ORDER BY source) AS parts, max(period)::BIGINT AS period FROM p4),
-  e AS (SELECT 0::BIGINT AS t, list_transform(parts, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM pl
-    UNION ALL SELECT t + 1, list_transform(range(len(done)), lambda i: done[i + 1] + (i = p)::BIGINT), p FROM (
-      SELECT t, done, list_min(list_filter(list_transform(range(len(done)), lambda i: {{'due': ceil((done[i + 1] + 1)::DOUBLE * period / parts[i + 1]), 'i': i, 'ok': floor(done[i + 1]::DOUBLE * period / parts[i + 1]) <= t AND done[i + 1] < parts[i + 1]}}), lambda x: x.ok)).i AS p
-      FROM e, pl WHERE t < period)),
-  s AS (SELECT sources[pick + 1] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM e, pl WHERE pick IS NOT NULL),
+  p0 AS (SELECT source, weight / sum(weight) OVER () * {float(mixing.BLOCK * mixing.PERIOD)}::DOUBLE AS quota FROM w),
+  p1 AS (SELECT source, greatest(round(quota * {float(mixing.UNIT)}::DOUBLE)::BIGINT, 1) AS q, greatest(ceil(quota / {float(mixing.BLOCK - 2)}::DOUBLE)::BIGINT, 1) AS p FROM p0),
+  pl AS (SELECT *, sum(p) OVER ()::BIGINT AS slots FROM p1),
+  h AS (SELECT coalesce(list(source ORDER BY source) FILTER (p > 1), []) AS sources, coalesce(list(p ORDER BY source) FILTER (p > 1), []) AS p, max(slots) AS slots FROM pl),
+  e AS (SELECT 0::BIGINT AS t, list_transform(p, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick FROM h
+    UNION ALL SELECT t + 1, list_transform(range(len(done)), lambda i: done[i + 1] + coalesce(i = c, false)::BIGINT), c FROM (
+      SELECT t, done, list_min(list_filter(list_transform(range(len(done)), lambda i: {{'due': (done[i + 1] * slots + slots + p[i + 1] - 1) // p[i + 1], 'i': i, 'ok': (done[i + 1] * slots) // p[i + 1] <= t AND done[i + 1] < p[i + 1]}}), lambda x: x.ok)).i AS c
+      FROM e, h WHERE t < slots)),
+  g AS (SELECT t - 1 AS slot, row_number() OVER (ORDER BY t) AS nth FROM e WHERE pick IS NULL AND t > 0),
+  l AS (SELECT source, row_number() OVER (ORDER BY source) AS nth FROM pl WHERE p = 1),
+  s AS (SELECT sources[pick + 1] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM e, h WHERE pick IS NOT NULL
+    UNION ALL SELECT source, slot, 0 FROM l JOIN g USING (nth)),
   r AS (SELECT doc_id, documents.source AS original, coalesce(documents.source, '') AS source, row_number() OVER (PARTITION BY coalesce(documents.source, '') ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 5))::BIGINT % {mixing.BUCKETS}, doc_id) - 1 AS rank FROM documents),
-  b AS (SELECT r.*, p4.parts, p4.period, rank // {mixing.BLOCK} AS mix_block FROM r JOIN p4 ON r.source = p4.source)
-SELECT doc_id, original AS source, mix_block, (mix_block // parts) * period + s.slot AS mix_slot, rank % {mixing.BLOCK} AS mix_row
-FROM b JOIN s ON b.source = s.source AND b.mix_block % b.parts = s.nth
+  m AS (SELECT r.*, q, p, slots, ((rank + 1) * {mixing.UNIT} - 1) // q AS m FROM r JOIN pl ON r.source = pl.source),
+  o AS (SELECT *, rank - (m * q) // {mixing.UNIT} AS off, ((m + 1) * q) // {mixing.UNIT} - (m * q) // {mixing.UNIT} AS n FROM m),
+  b AS (SELECT *, ((off + 1) * p - 1) // n AS j FROM o)
+SELECT doc_id, original AS source, m * p + b.j AS mix_block, m * slots + s.slot AS mix_slot, off - (b.j * n) // p AS mix_row
+FROM b JOIN s ON b.source = s.source AND b.j = s.j
 """
 
 
@@ -190,12 +193,14 @@ WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
   m AS (SELECT doc_id, source, lang, {", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS g_{k}" for k, p in _KINDS)} FROM t),
   c AS (SELECT doc_id, source, lang, list_concat(list_concat({", ".join(_SPANS.format(k=k, o=o) + (")" if o == 1 else "") for o, (k, _) in enumerate(_KINDS))}) AS c FROM m),
   f AS (SELECT doc_id, source, lang, list_sort(list_filter(c, lambda x: (x.kind = 'assign' AND length(regexp_extract(x.m, '{_ASSIGN}', 1)) >= 6) OR (x.kind = 'access' AND length(x.m) >= 20) OR x.kind = 'hex')) AS c FROM c),
-  e AS (SELECT doc_id, source, x.start AS start, x.ord AS ord, sha256(CASE WHEN x.kind = 'assign' THEN regexp_extract(x.m, '{_ASSIGN}', 1) ELSE x.m END) AS h FROM (SELECT doc_id, source, unnest(c) AS x FROM f)),
-  o AS (SELECT h, count(DISTINCT source) >= {secrets.OWNERS_OF_AN_EXAMPLE} AS example FROM e GROUP BY h),
-  j AS (SELECT doc_id, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example, string_agg(CASE WHEN example THEN 'example' ELSE 'live' END, ',' ORDER BY start, ord) AS classes FROM e JOIN o USING (h) GROUP BY doc_id),
+  e AS (SELECT doc_id, source, lang, x.start AS start, x.ord AS ord, sha256(CASE WHEN x.kind = 'assign' THEN regexp_extract(x.m, '{_ASSIGN}', 1) ELSE x.m END) AS h FROM (SELECT doc_id, source, lang, unnest(c) AS x FROM f)),
+  o AS (SELECT h, count(DISTINCT coalesce('+' || source, '-')) AS owners, count(DISTINCT coalesce('+' || source, '-') || coalesce('+' || lang, '-')) AS repositories FROM e GROUP BY h),
+  x AS (SELECT e.*, owners, repositories, owners >= {secrets.OWNERS_OF_AN_EXAMPLE} OR repositories >= {secrets.REPOSITORIES_OF_AN_EXAMPLE} AS example FROM e JOIN o USING (h)),
+  j AS (SELECT doc_id, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example, string_agg(CASE WHEN example THEN 'example' ELSE 'live' END, ',' ORDER BY start, ord) AS classes,
+    string_agg(owners::VARCHAR, ',' ORDER BY start, ord) AS n_owners, string_agg(repositories::VARCHAR, ',' ORDER BY start, ord) AS n_repositories FROM x GROUP BY doc_id),
   s AS (SELECT doc_id, c, array_to_string(list_transform(c, lambda x: x.kind || ':' || x.start || ':' || (x.start + length(x.m))), ',') AS spans FROM f)
 SELECT doc_id, {", ".join(f"len(list_filter(c, lambda x: x.kind = '{k}'))::BIGINT AS n_{k}" for k, _ in _KINDS)}, sha256(spans) AS base_sha256, spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(classes, '') AS classes
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(classes, '') AS classes, coalesce(n_owners, '') AS n_owners, coalesce(n_repositories, '') AS n_repositories
 FROM s LEFT JOIN j USING (doc_id)
 """,
     "op3_embedding_dedup": """

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import join_groups, materialize
 from tidewell.llm.spans import joined, with_spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,7 +22,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
-OWNERS_OF_AN_EXAMPLE = 3
+#: A value that so many owners hold, or so many repositories whoever owns them, is a copied example.
+OWNERS_OF_AN_EXAMPLE, REPOSITORIES_OF_AN_EXAMPLE = 3, 5
 
 
 def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -86,8 +87,8 @@ def scan_secrets(
     example = F.col("n_owners") >= owners_of_an_example
     if repositories_of_an_example is not None:
         example = example | (F.col("n_repositories") >= repositories_of_an_example)
-    frequency = ownership(each).withColumn("example", example).select("value_hash", "example", "n_owners", "n_repositories")
-    judged = each.join(frequency, "value_hash").groupBy("_id", "spans", "start", "ord").agg(*(F.max(c).alias(c) for c in ("example", "n_owners", "n_repositories")))
+    frequency = materialize(ownership(each).withColumn("example", example).select("value_hash", "example", "n_owners", "n_repositories", "n_found"), "secret-values")
+    judged = join_groups(each, frequency, ["value_hash"], "n_found").groupBy("_id", "spans", "start", "ord").agg(*(F.max(c).alias(c) for c in ("example", "n_owners", "n_repositories")))
     mark = F.struct("start", "ord", F.when(F.col("example"), "example").otherwise("live").alias("class"), "n_owners", "n_repositories")
     per_doc = judged.groupBy("_id", "spans").agg(
         F.count_if(~F.col("example")).alias("n_live"),
