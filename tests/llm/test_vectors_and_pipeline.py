@@ -45,6 +45,34 @@ def test_vectors_of_another_length_isolate_only_themselves(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (0, 7, True), 8: (0, 8, True)}
 
 
+def test_vectors_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (2, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.01, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS node", "2 AS h1", "3 AS _id", "4 AS m")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.dedup_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False)]
+
+
+def test_tiles_cover_and_prune():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 24)) + 3.0
+    x = np.concatenate([c + rng.normal(size=(40, 24)) * 0.05 for c in centres])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    mean = u.mean(axis=0)
+    _, axes = np.linalg.eigh(np.cov(u.T))
+    p, add = embedding._centred(x, axes[:, ::-1], mean)
+    assert np.allclose(p @ p.T + add[:, None] + add[None, :], u @ u.T)
+    lead = p[:, :6]
+    tree = embedding.Cuts(lead[::3], 16)
+    leaf = tree.leaf_of(lead)
+    assert tree.leaves == 16 and set(leaf) <= set(range(16)) and np.bincount(leaf).max() < 4 * len(x) / 16
+    low, high = (np.array([f(lead[leaf == q], axis=0) for q in range(16)]) for f in (np.min, np.max))
+    partners = embedding.near_boxes(low, high, np.sqrt(2 - 2 * 0.999))
+    assert all((leaf[j] in partners[leaf[i]]) for i, j in zip(*np.nonzero(u @ u.T >= 0.999), strict=True))
+    assert sum(map(len, partners)) < 16 * 16 / 2
+    same = embedding.Cuts(np.ones((50, 3)), 8)
+    assert same.leaves == 1 and (same.leaf_of(np.ones((4, 3))) == 0).all() and (embedding.Cuts(np.zeros((0, 2)), 4).leaf_of(np.ones((2, 2))) == 0).all()
+
+
 def test_vectors_of_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert {(r.n_links, r.component_id, r.kept) for r in embedding.dedup_vectors(df).collect()} == {(1, 1, True)}

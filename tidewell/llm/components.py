@@ -60,3 +60,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def name_components(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, rep) and ``connected_components`` of nodes to (node, name): the smallest rep of each linked node's component."""
+    linked = materialize(classes.select("node", "rep").join(found, "node"), "component-members")
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"), F.count(F.lit(1)).alias("size"))
+    return join_groups(linked.select("node", "component"), materialize(names, "component-names"), ["component"], "size").select("node", "name")

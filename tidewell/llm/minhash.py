@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Sealed, filter_bits, join_groups, materialize, probably_in, release, split_by_filter
-from tidewell.llm.components import connected_components
+from tidewell.llm.components import connected_components, name_components
 from tidewell.llm.forest import Forest
 
 K = 64
@@ -109,9 +109,7 @@ class _Corpus:
 
     def components(self, found: DataFrame) -> DataFrame:
         """(h1, h2, n, members, component_id) of all classes, from (node, component) of the linked ones."""
-        linked = materialize(self.classes.join(found, "node"), "minhash-linked")
-        names = linked.groupBy("component").agg(F.min("rep").alias("name"), F.count(F.lit(1)).alias("size"))
-        named = join_groups(linked.select("node", "component"), materialize(names, "minhash-names"), ["component"], "size").select("node", "name", F.lit(True).alias("in"))
+        named = name_components(self.classes, found).withColumn("in", F.lit(True))
         every = self.classes.join(named, "node", "left")
         return every.select(*self.same, "members", F.when(F.col("in"), F.col("name")).otherwise(F.col("rep")).alias("component_id"))
 
