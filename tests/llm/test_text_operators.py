@@ -469,18 +469,57 @@ def test_marginals_against_all_taggings():
         assert np.allclose(got, (mass / total)[at])
 
 
-def test_training_windows_reach_the_end_of_a_document():
+def test_training_windows_cover_the_whole_text():
     import pandas as pd
 
-    for n in (3, 8, 9, 12, 15, 17, 23, 100):
-        got = toxicity._spread(list(range(n)), 8)
-        assert len(got) == min(n, 8) and got[0] == 0 and got[-1] == n - 1
-        assert max(b - a for a, b in zip(got, got[1:], strict=False)) <= -(-(n - 1) // 7)
-    feature = toxicity.features("nasty")[0]
-    common = toxicity.features("house")[0]
-    text = " ".join((["house"] + ["the"] * 39) * 11 + ["nasty"])
-    made = next(toxicity._windows({common: 0, feature: 1}, {1})(iter([pd.DataFrame({"text": [text], "y": [1]})])))
-    assert len(made) == 8 and sum(len(t) for t in made["tags"]) >= 1
+    ids = {toxicity.features("house")[0]: 0, toxicity.features("nasty")[0]: 1}
+    for n in (1, 31, 32, 33, 64, 500):
+        text = " ".join((["house"] + ["the"] * 70) * 7)[: n * 4] + " nasty"
+        tokens = text.split()
+        made = next(toxicity._windows(ids, {1})(iter([pd.DataFrame({"text": [text], "y": [1]})])))
+        assert (made["n"] * made["m"]).sum() == len(tokens) and made["m"].sum() == -(-len(tokens) // toxicity.WINDOW)
+        assert sum(len(f) for f in made["f"]) == sum(t in ("house", "nasty") for t in tokens) and sum(len(t) for t in made["tags"]) == 1
+    assert not len(next(toxicity._windows(ids, {1})(iter([pd.DataFrame({"text": [""], "y": [1]})]))))
+
+
+def test_likelihood_and_gradient_against_all_taggings(monkeypatch):
+    import itertools
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(toxicity, "TOGETHER", 2)
+    rng = np.random.default_rng(7)
+    windows = [SimpleNamespace(n=5, at=[0, 3, 3], f=[0, 1, 2], tags=[3], m=2), SimpleNamespace(n=4, at=[], f=[], tags=[], m=7), SimpleNamespace(n=1, at=[0], f=[2], tags=[0], m=1)]
+    chains = toxicity._Chains(windows, 3)
+    theta = rng.normal(size=10)
+
+    def brute(x):
+        total = chains.l2 / 2 * (x @ x)
+        for w in windows:
+            scores = {}
+            for tags in itertools.product((0, 1), repeat=w.n):
+                s = x[8 + tags[0]] + sum(x[4 + 2 * a + b] for a, b in zip(tags, tags[1:])) + x[3] * sum(tags)
+                scores[tags] = s + sum(x[f] * tags[i] for i, f in zip(w.at, w.f))
+            gold = tuple(int(i in w.tags) for i in range(w.n))
+            total += w.m * (np.log(sum(np.exp(v) for v in scores.values())) - scores[gold])
+        return total
+
+    value, grad = chains(theta)
+    assert value == pytest.approx(brute(theta))
+    steps = np.eye(10) * 1e-5
+    assert np.allclose(grad, [(brute(theta + d) - brute(theta - d)) / 2e-5 for d in steps], atol=1e-4)
+    best = toxicity._minimise(chains, np.zeros(10))
+    assert np.abs(chains(best)[1]).max() < 0.05 and chains(best)[0] < chains(theta)[0]
+
+
+def test_toxicity_of_documents_not_learned_from(spark):
+    """Held-out figures on the given documents, as the query has it."""
+    from tidewell.llm.queries import op7_toxicity
+
+    data = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in op7_toxicity(spark, data).collect() if r.held_out and r.doc_id in truth]
+    toxic, clean = [p for y, p in held if y == 1], [p for y, p in held if y == 0]
+    assert len(toxic) >= 20 and sum(toxic) / len(toxic) >= 0.85 and sum(clean) / len(clean) <= 0.03
 
 
 def test_toxicity(spark):

@@ -22,17 +22,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, small_batches
+from tidewell.llm.common import materialize, sampled, small_batches
 
-#: Bounds of the training sample: documents of each label, features, windows of a document, tokens of a window.
+#: Bounds of the training: documents of each label (read whole), and features of the model.
 MAX_PER_LABEL = 6_000
 MAX_FEATURES = 4_000
-MAX_WINDOWS = 8
-WINDOW = 32
+#: Tokens of a training window; windows follow one another through the whole text.  Windows stepped together.
+WINDOW, TOGETHER = 32, 8192
 PREFIXES = (4, 5)
 MIN_ODDS, TAG_ODDS, MIN_DOCS = 1.5, 3.0, 3
 CACHED_TOKENS = 120_000
-#: Tokens of one step over a text; longer texts are read in slices, never cut off.
 WORDS = re.compile(r"\w+")
 
 
@@ -63,14 +62,16 @@ class _Weights(dict):
 
 def _sample(docs: DataFrame, labels: DataFrame, max_per_label: int) -> DataFrame:
     """Texts of at most about ``max_per_label`` documents of each label, as (text, y)."""
-    one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    n = {r.y: r.n for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rate = F.lit(0)
+    one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).cast("int").alias("y"))
+    n = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(0.0)
     for y, k in n.items():
-        rate = F.when(F.col("y") == y, int(1e6 * min(1.0, max_per_label / k))).otherwise(rate)
-    chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate)
-    # Twice max_per_label rows of two numbers, so the broadcast has a fixed bound.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("text", F.col("y").cast("int").alias("y"))
+        share = F.when(F.col("y") == y, min(1.0, max_per_label / k)).otherwise(share)
+    chosen = sampled(one, F.col("doc_id"), share)
+    if n and chosen.isEmpty():
+        raise RuntimeError("no labelled row was drawn")
+    # Twice max_per_label rows of two numbers (and some), so the broadcast has a fixed bound.
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL").select("text", "y")
 
 
 def _frequencies(batches: Iterator) -> Iterator:
@@ -149,83 +150,118 @@ def marginals(model: dict, lengths: np.ndarray, at: list[np.ndarray], emit: list
     return result
 
 
-def _spread(items: list, most: int) -> list:
-    """At most ``most`` items, evenly over the whole list, with its first and last."""
-    n = len(items)
-    return items if n <= most else [items[i * (n - 1) // (most - 1)] for i in range(most)]
-
-
 def _windows(weight: dict[str, int], strong: set[int]):
-    """Windows of the training texts as (tags, tokens' feature ids), sparse."""
+    """All windows of the training texts as (tokens, positions and numbers of features, toxic positions), sparse."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
-            rows = []
             for text, y in zip(b["text"], b["y"], strict=True):
                 tokens = WORDS.findall(text)
                 ids = {i: got for i, t in enumerate(tokens) if (got := [weight[f] for f in features(t) if f in weight])}
-                starts, end = [], -1
-                for i in sorted(ids):
-                    if i >= end:
-                        starts.append(max(0, i - i % (WINDOW // 2)))
-                        end = starts[-1] + WINDOW
-                starts = _spread(starts, MAX_WINDOWS) or [max(0, len(tokens) // 2 - WINDOW // 2)]
-                for s in starts:
-                    inside = [(i - s, f) for i in range(s, min(s + WINDOW, len(tokens))) for f in ids.get(i, ())]
-                    tags = sorted({i for i, f in inside if y > 0 and f in strong})
-                    rows.append((min(WINDOW, len(tokens) - s), [i for i, _ in inside], [f for _, f in inside], tags))
-            yield pd.DataFrame(rows, columns=["n", "at", "f", "tags"])
+                found: dict[int, list[tuple[int, int]]] = {}
+                for i, got in ids.items():
+                    found.setdefault(i // WINDOW, []).extend((i % WINDOW, f) for f in got)
+                rows = [(min(WINDOW, len(tokens) - w * WINDOW), [i for i, _ in x], [f for _, f in x], sorted({i for i, f in x if y > 0 and f in strong}), 1) for w, x in found.items()]
+                # Windows without features differ by their length only: whole ones, and the last.
+                whole, last = divmod(len(tokens), WINDOW)
+                rows.append((WINDOW, [], [], [], whole - sum(w < whole for w in found)))
+                if last and whole not in found:
+                    rows.append((last, [], [], [], 1))
+                yield pd.DataFrame([r for r in rows if r[4]], columns=["n", "at", "f", "tags", "m"])
 
     return run
 
 
-def _train(windows: list, n_features: int, rounds: int = 120, l2: float = 1e-3, rate: float = 0.15) -> dict:
-    """Adam on the penalised conditional likelihood of the windows' tags."""
-    windows = [w for w in windows if w.n > 0]
-    n = len(windows)
-    row = np.concatenate([np.full(len(w.at), i) for i, w in enumerate(windows)]).astype(int)
-    col = np.concatenate([np.asarray(w.at, int) for w in windows]).astype(int)
-    feat = np.concatenate([np.asarray(w.f, int) for w in windows]).astype(int)
-    mask = np.arange(WINDOW)[None, :] < np.array([w.n for w in windows])[:, None]
-    tag = np.zeros((n, WINDOW), dtype=int)
-    for i, w in enumerate(windows):
-        tag[i, list(w.tags)] = 1
-    theta = np.zeros(n_features + 7)  # features, bias, 4 transitions, 2 starts
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    pair = mask[:, 1:]
-    gold = np.zeros_like(theta)
-    np.add.at(gold, feat, tag[row, col])
-    gold[n_features] = tag[mask].sum()
-    np.add.at(gold, n_features + 1 + tag[:, :-1][pair] * 2 + tag[:, 1:][pair], 1)
-    np.add.at(gold, n_features + 5 + tag[:, 0], 1)
-    for t in range(1, rounds + 1):
-        e = np.full((n, WINDOW), theta[n_features])
-        np.add.at(e, (row, col), theta[feat])
+class _Chains:
+    """Weighted windows as arrays, and the penalised negative log-likelihood of their tags."""
+
+    def __init__(self, windows: list, n_features: int) -> None:
+        self.n_features = n_features
+        self.m = np.array([w.m for w in windows], dtype=float)
+        self.row = np.repeat(np.arange(len(windows)), [len(w.at) for w in windows])
+        self.col = np.concatenate([np.asarray(w.at, int) for w in windows])
+        self.feat = np.concatenate([np.asarray(w.f, int) for w in windows])
+        self.mask = np.arange(WINDOW)[None, :] < np.array([w.n for w in windows])[:, None]
+        tag = np.zeros((len(windows), WINDOW), dtype=int)
+        for i, w in enumerate(windows):
+            tag[i, list(w.tags)] = 1
+        m, pair = self.m[:, None], self.mask[:, 1:]
+        self.gold = np.concatenate([
+            np.bincount(self.feat, (tag * m)[self.row, self.col], n_features), [(tag * m * self.mask).sum()],
+            np.bincount((tag[:, :-1] * 2 + tag[:, 1:])[pair], np.broadcast_to(m, pair.shape)[pair], 4), np.bincount(tag[:, 0], self.m, 2),
+        ])
+        # The penalty grows with the windows that hold features, as the evidence does.
+        self.l2 = 1e-3 * max(1.0, self.m[np.unique(self.row)].sum())
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and gradient at ``theta``: features, bias, 4 transitions, 2 starts."""
+        value, grad = self.l2 / 2 * (theta @ theta) - self.gold @ theta, self.l2 * theta - self.gold
+        for a in range(0, len(self.m), TOGETHER):
+            v, g = self._expected(theta, a, min(a + TOGETHER, len(self.m)))
+            value, grad = value + v, grad + g
+        return value, grad
+
+    def _expected(self, theta: np.ndarray, first: int, last: int) -> tuple[float, np.ndarray]:
+        k = self.n_features
+        lo, hi = np.searchsorted(self.row, [first, last])
+        row, col, feat = self.row[lo:hi] - first, self.col[lo:hi], self.feat[lo:hi]
+        mask, m, n = self.mask[first:last], self.m[first:last], last - first
+        e = theta[k] + np.bincount(row * WINDOW + col, theta[feat], n * WINDOW).reshape(n, WINDOW)
         pot = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
-        a = np.exp(theta[n_features + 1 : n_features + 5]).reshape(2, 2)
-        fw, bw = np.zeros((n, WINDOW, 2)), np.ones((n, WINDOW, 2))
-        fw[:, 0] = pot[:, 0] * np.exp(theta[n_features + 5 :])
-        fw[:, 0] /= fw[:, 0].sum(1, keepdims=True)
-        for i in range(1, WINDOW):
-            fw[:, i] = np.where(mask[:, i : i + 1], (fw[:, i - 1] @ a) * pot[:, i], fw[:, i - 1])
-            fw[:, i] /= fw[:, i].sum(1, keepdims=True)
+        a = np.exp(theta[k + 1 : k + 5]).reshape(2, 2)
+        fw, bw, log = np.zeros((n, WINDOW, 2)), np.ones((n, WINDOW, 2)), np.zeros(n)
+        for i in range(WINDOW):
+            moved = (fw[:, i - 1] @ a) * pot[:, i] if i else pot[:, 0] * np.exp(theta[k + 5 :])
+            fw[:, i] = np.where(mask[:, i : i + 1], moved, fw[:, i - 1])
+            size = fw[:, i].sum(1, keepdims=True)
+            fw[:, i] /= size
+            log += np.where(mask[:, i], np.log(size[:, 0]), 0.0)
         for i in range(WINDOW - 2, -1, -1):
             bw[:, i] = np.where(mask[:, i + 1 : i + 2], (pot[:, i + 1] * bw[:, i + 1]) @ a.T, bw[:, i + 1])
             bw[:, i] /= bw[:, i].sum(1, keepdims=True)
         p = fw * bw
         p = (p / p.sum(2, keepdims=True))[:, :, 1] * mask
         two = fw[:, :-1, :, None] * a[None, None] * (pot[:, 1:] * bw[:, 1:])[:, :, None, :]
-        two = two / two.sum((2, 3), keepdims=True) * pair[:, :, None, None]
-        want = np.zeros_like(theta)
-        np.add.at(want, feat, p[row, col])
-        want[n_features] = p.sum()
-        want[n_features + 1 : n_features + 5] = two.sum((0, 1)).ravel()
-        want[n_features + 5 :] = np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
-        grad = (want - gold) / n + l2 * theta
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        theta -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        two = two / two.sum((2, 3), keepdims=True) * mask[:, 1:, None, None]
+        weighted = p * m[:, None]
+        start = np.array([(m * (1 - p[:, 0])).sum(), weighted[:, 0].sum()])
+        want = np.concatenate([np.bincount(feat, weighted[row, col], k), [weighted.sum()], np.einsum("n,nijk->jk", m, two).ravel(), start])
+        return float(m @ log), want
+
+
+def _minimise(f, x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    value, grad = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        q, alphas = grad.copy(), []
+        for s, y in reversed(steps):
+            alphas.append((s @ q) / (y @ s))
+            q -= alphas[-1] * y
+        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(grad).sum())
+        for (s, y), alpha in zip(steps, reversed(alphas), strict=True):
+            q += s * (alpha - (y @ q) / (y @ s))
+        slope, t = grad @ q, 1.0
+        while True:
+            new, new_grad = f(x - t * q)
+            if new <= value - 1e-4 * t * slope or t < 1e-8:
+                break
+            t /= 2
+        s, y = -t * q, new_grad - grad
+        done = abs(value - new) <= 1e-6 * max(1.0, abs(value))
+        x, value, grad = x + s, new, new_grad
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y)]
+        if done:
+            break
+    return x
+
+
+def _train(windows: list, n_features: int) -> dict:
+    """The penalised conditional maximum likelihood of the windows' tags."""
+    theta = _minimise(_Chains(windows, n_features), np.zeros(n_features + 7))
     return {"w": theta[:n_features], "bias": float(theta[n_features]), "trans": theta[n_features + 1 : n_features + 5].reshape(2, 2), "start": theta[n_features + 5 :]}
 
 
@@ -279,7 +315,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
         return empty | {"share": n[1] / (n[0] + n[1])}
     ids = {r.f: i for i, r in enumerate(top)}
     strong = {i for i, r in enumerate(top) if r.odds >= TAG_ODDS}
-    windows = list(sample.mapInPandas(_windows(ids, strong), "n int, at array<int>, f array<int>, tags array<int>").toPandas().itertuples())
+    # Equal windows are counted, so what reaches the driver grows with the bounded sample's different windows only.
+    windows = sample.mapInPandas(_windows(ids, strong), "n int, at array<int>, f array<int>, tags array<int>, m long").groupBy("n", "at", "f", "tags").agg(F.sum("m").alias("m"))
+    windows = list(windows.orderBy("n", "at", "f", "tags").toPandas().itertuples())
     crf = _train(windows, len(ids))
     model = {"weight": {f: float(crf["w"][i]) for f, i in ids.items() if abs(crf["w"][i]) > 1e-3}, "bias": crf["bias"], "trans": crf["trans"], "start": crf["start"], "final": None, "share": 0.0}
 
@@ -299,12 +337,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL)
 def score(docs: DataFrame, model: dict, text: str = "text", keep: dict[str, Column] | None = None, rows: int = 256) -> DataFrame:
     """Columns ``keep`` (name to expression, default doc_id), score, predicted (int) and offsets, one row per input row.
 
+    A name of ``keep`` that is an output's gives way to it.
     ``offsets`` lists start:end of the tokens whose marginal is 0.5 or more, code points,
     end exclusive.  Null text counts as empty; an empty text gets the score of a text
     without evidence.  There is no shuffle.
     """
     small_batches(docs.sparkSession)
-    keep = {"doc_id": F.col("doc_id")} if keep is None else keep
+    keep = {n: c for n, c in ({"doc_id": F.col("doc_id")} if keep is None else keep).items() if n.lower() not in ("score", "predicted", "offsets")}
     src = docs.select(*(c.alias(f"k{i}") for i, c in enumerate(keep.values())), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     kept = [f"k{i}" for i in range(len(keep))]
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["score double", "predicted int", "offsets string"]
