@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tidewell.cli import main
 from tidewell.model import GridFrame, Result, ResultSet
 from tidewell.plans import Pipeline, PipelineConfig
-from tidewell.plans.config import Call, Derived, Mask, Source
+from tidewell.plans.config import Call, Mask, Source, parse
+from tidewell.plans.pipeline import derived_of
 from tidewell.registry import register_loader
 from tidewell.sources import sinks
 from tidewell.sources.loaders import read
 from tidewell.sources.select import prepare
+from tidewell.sources.zarr import Store
 from tidewell.streaming import incremental, samples
 
 
@@ -43,8 +45,14 @@ def test_config_rules():
         Source(type="xarray")
     with pytest.raises(ValidationError):
         Mask(type="threshold", var="hs")
-    assert Derived.model_validate("wspd").func == "wspd"
-    assert Derived.model_validate({"name": "x", "func": "wspd", "uwnd": "u10"}).inputs == {"uwnd": "u10"}
+    with pytest.raises(ValidationError):
+        Call(func="mean", nsector=0)
+    assert derived_of("wspd") == ("wspd", "wspd", {}) == derived_of({"func": "wspd"}) == derived_of({"name": "wspd"})
+    assert derived_of({"name": "x", "func": "wspd", "uwnd": "u10"}) == ("x", "wspd", {"uwnd": "u10"})
+    with pytest.raises(ValueError):
+        derived_of({"uwnd": "u10"})
+    text = "source: {type: xarray, urlpath: x}\noutput: {outfile: y.zarr}\ncalls: [{func: mean, use_flox: false}]\ncluster: {enabled: true, n_workers: 3}\n"
+    assert parse(text).source.engine == "zarr" and parse(text).calls[0].options == {}
     call = Call(func="quantile", q=[0.5])
     assert call.options == {"q": [0.5]} and call.dim == "time" and call.dir_var == "dpm"
 
@@ -58,12 +66,89 @@ def test_run_writes_and_names(spark, data, tmp_path):
     names = {v for r in out.values() for v in r.variables}
     assert names == {"hs_mean", "tp_mean", "hs_max_month", "hs_2.5_exceedance", "hs_quantile", "hs_mean_direc", "hs_n"}
     assert ("quantile", *CELLS) in out
-    info = sinks.store_info(spark, str(tmp_path / "out.zarr"))
+    info = Store(spark, str(tmp_path / "out.zarr"))
+    assert info.read_json(".zattrs")["time_coverage_resolution"] == "P0DT12H0M0S"
+    known = info.known()
+    assert known["hs_max_month"][1]["long_name"] == "monthly maximum significant wave height" and known["hs_max_month"][1]["_ARRAY_DIMENSIONS"] == [*CELLS, "month"]
+    assert known["hs_mean"][0]["dtype"] == "<f4" and known["hs_quantile"][0]["shape"] == [2, 2, 2] and set(known) == names | {*CELLS, "month", "quantile", "direction"}
+    Pipeline(config(data, tmp_path / "out.parquet", calls), spark).run()
+    info = sinks.store_info(spark, str(tmp_path / "out.parquet"))
     assert info["attrs"]["time_coverage_resolution"] == "P0DT12H0M0S"
     assert info["variables"]["hs_max_month"]["attrs"]["long_name"] == "monthly maximum significant wave height"
-    assert sinks.read_store(spark, str(tmp_path / "out.zarr"), "hs_2.5_exceedance").count() == 4
-    stored = sinks.read_store(spark, str(tmp_path / "out.zarr"), "hs_mean")
+    assert sinks.read_store(spark, str(tmp_path / "out.parquet"), "hs_2.5_exceedance").count() == 4
+    stored = sinks.read_store(spark, str(tmp_path / "out.parquet"), "hs_mean")
     assert dict(stored.dtypes)["hs_mean"] == "float" and stored.where("hs_mean IS NULL").count() == 2
+    assert not list(tmp_path.glob("*.writing-*"))
+
+
+def test_zarr_round_trip(spark, data, tmp_path):
+    df = spark.read.parquet(data)
+    results = ResultSet()
+    results.add(Result(df, ("time", "latitude", "longitude")))
+    results.add(Result(df.groupBy("latitude").agg(F.max("tp").alias("depth")), ("latitude",)))
+    path = str(tmp_path / "grid.zarr")
+    for chunks in ({}, {"time": 50, "longitude": 1}):
+        sinks.write(spark, results, path, {"title": "x"}, chunks=chunks)
+        back = read(spark, path, "zarr")
+        assert dict(back.dtypes)["time"] == "timestamp_ntz" and back.columns[:3] == ["time", "latitude", "longitude"]
+        assert sorted(map(repr, back.drop("depth").select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+        assert back.select("depth").distinct().collect()[0].depth == 10
+    meta = json.loads((tmp_path / "grid.zarr" / ".zmetadata").read_text())["metadata"]
+    assert meta["hs/.zarray"]["chunks"] == [50, 2, 1] and meta["time/.zattrs"]["units"] == "seconds since 1970-01-01"
+    # The cells without a value have no files: hs is missing at one latitude only, tp nowhere.
+    assert {p.name for p in (tmp_path / "grid.zarr" / "tp").glob("[0-9]*")} == {f"{a}.0.{b}" for a in range(3) for b in range(2)}
+    for codec in (None, {"id": "gzip"}, {"id": "zstd"}):
+        recode(tmp_path / "grid.zarr" / "hs", codec)
+        assert read(spark, path, "zarr").agg(F.sum("hs")).first()[0] == df.agg(F.sum("hs")).first()[0]
+    c = config(path, tmp_path / "m.zarr", [{"func": "mean", "data_vars": ["hs"]}])
+    c["source"] |= {"engine": "zarr"}
+    del c["source"]["cells"]
+    assert Pipeline(c, spark).compute()[0][tuple(CELLS)].df.count() == 4
+    (tmp_path / "grid.zarr" / "hs" / ".zarray").write_text(json.dumps({**meta["hs/.zarray"], "compressor": {"id": "blosc"}}))
+    (tmp_path / "grid.zarr" / ".zmetadata").unlink()
+    with pytest.raises(ValueError, match="blosc"):
+        read(spark, path, "zarr")
+    for engine in ("cfgrib",):
+        with pytest.raises(ValueError, match=engine):
+            read(spark, path, engine)
+
+
+def recode(array, codec):
+    import gzip
+    import zlib
+
+    import zstandard
+
+    meta = json.loads((array / ".zarray").read_text())
+    unpack = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress}[(meta["compressor"] or {}).get("id")]
+    pack = {None: bytes, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[(codec or {}).get("id")]
+    for chunk in array.glob("[0-9]*"):
+        chunk.write_bytes(pack(unpack(chunk.read_bytes())))
+    meta["compressor"] = codec
+    for place, name in ((array / ".zarray", None), (array.parent / ".zmetadata", f"{array.name}/.zarray")):
+        whole = json.loads(place.read_text())
+        if name:
+            whole["metadata"][name] = meta
+        place.write_text(json.dumps(whole if name else meta))
+
+
+def test_run_computes_results_once(spark, data, tmp_path):
+    """The source is scanned once for a set of fused results, however many variables they hold."""
+    calls = [{"func": f, "data_vars": ["hs", "tp"]} for f in ("mean", "max", "min", "std", "count")] + [{"func": f, "data_vars": ["hs"], "nsector": 4} for f in ("mean", "max")]
+    made, _ = Pipeline(config(data, tmp_path / "o.parquet", calls), spark).compute()
+    assert set(made) == {tuple(CELLS), (*CELLS, "direction")}
+    for result in made.values():
+        plan = result.df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 1
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("once", "write")
+    sinks.write(spark, made, str(tmp_path / "o.parquet"), {})
+    scans = 0
+    for job in jobs.getJobIdsForGroup("once"):
+        scans += len(jobs.getJobInfo(job).stageIds)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Two results, aggregated and sorted once each, and one short copy for each of 12 variables.
+    assert scans <= 30
 
 
 def test_plain_calls_share_one_scan(spark, data, tmp_path):
@@ -88,6 +173,14 @@ def test_append_keeps_other_variables(spark, data, tmp_path):
     path = tmp_path / "a.zarr"
     Pipeline(config(data, path, [{"func": "mean", "data_vars": ["hs"]}]), spark).run()
     Pipeline(config(data, path, [{"func": "max", "data_vars": ["hs"]}], append=True, consolidate=True), spark).run()
+    assert set(Store(spark, str(path)).known()) == {"hs_mean", "hs_max", *CELLS} and Store(spark, str(path)).exists(".zmetadata")
+    with pytest.raises(ValueError, match="labels"):
+        Pipeline(config(data, path, [{"func": "min", "data_vars": ["hs"]}], append=True) | {"source": {"type": "xarray", "urlpath": data, "engine": "parquet", "cells": CELLS, "sel": {"latitude": [-40.0]}}}, spark).run()
+    Pipeline(config(data, path, [{"func": "min", "data_vars": ["hs"]}]), spark).run()
+    assert set(Store(spark, str(path)).known()) == {"hs_min", *CELLS}
+    path = tmp_path / "a.parquet"
+    Pipeline(config(data, path, [{"func": "mean", "data_vars": ["hs"]}]), spark).run()
+    Pipeline(config(data, path, [{"func": "max", "data_vars": ["hs"]}], append=True, consolidate=True), spark).run()
     assert set(sinks.store_info(spark, str(path))["variables"]) == {"hs_mean", "hs_max"}
     Pipeline(config(data, path, [{"func": "min", "data_vars": ["hs"]}]), spark).run()
     assert set(sinks.store_info(spark, str(path))["variables"]) == {"hs_min"}
@@ -145,7 +238,7 @@ def test_netcdf_records_and_packing(spark, tmp_path):
 
 def test_upload(spark, data, tmp_path):
     Pipeline(config(data, tmp_path / "u.zarr", [{"func": "mean", "data_vars": ["hs"]}], updir=str(tmp_path / "up")), spark).run()
-    assert json.loads((tmp_path / "up" / "u.zarr" / sinks.SIDECAR).read_text())["variables"]
+    assert json.loads((tmp_path / "up" / "u.zarr" / ".zmetadata").read_text())["metadata"]
     with pytest.raises(FileNotFoundError):
         sinks.upload(spark, str(tmp_path / "none.zarr"), str(tmp_path / "up"))
     assert sinks.upload(spark, "gs://bucket/x.zarr", "gs://other") == "gs://bucket/x.zarr"

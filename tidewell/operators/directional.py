@@ -14,8 +14,9 @@ from tidewell.registry import get_stat, register_stat
 def in_sectors(frame: GridFrame, stat, group: str | None, dir_var: str, nsector: int, **options) -> Result:
     """Any statistic by sector of ``dir_var``; dim ``direction`` holds the sector centres.
 
-    Plain aggregates take all sectors in one pass; others run once for each sector on
-    masked variables.
+    Plain aggregates take all sectors in one pass.  For others the sector is one more
+    cell dim: each row stands once in every sector, as missing in all but its own, so
+    the source is read once and every sector holds all samples.
     """
     if dir_var not in frame.df.columns:
         raise ValueError(f"no such variable: {dir_var}")
@@ -23,32 +24,41 @@ def in_sectors(frame: GridFrame, stat, group: str | None, dir_var: str, nsector:
     if isinstance(stat, AggregateStat) and duration in ("0h", 0, ["0h"]):
         options.pop("duration", None)
         return stat.by_sector(frame, group, dir_var, nsector, **options)
-    tagged = frame.df.withColumn("_sector", sector(F.col(dir_var), nsector))
-    out = None
-    for i in range(nsector):
-        masked = frame.with_df(tagged.withColumns({v: F.when(F.col("_sector") == i, frame.number(v)) for v in frame.variables}))
-        one = stat(masked, group=group, **options)
-        rows = one.df.withColumn("direction", F.lit(i * 360.0 / nsector))
-        out = rows if out is None else out.unionByName(rows)
-    return Result(out, (*one.dims, "direction"))
+    at = sector(F.col(dir_var), nsector)
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i * 360.0 / nsector).alias("direction")) for i in range(nsector)))
+    rows = frame.df.withColumn("_own", at).withColumn("_sector", F.explode(each))
+    rows = rows.withColumns({"direction": F.col("_sector.direction"), **{v: F.when(F.col("_own") == F.col("_sector.i"), frame.number(v)) for v in frame.variables}})
+    made = stat(frame.with_df(rows.drop("_own", "_sector"), cells=(*frame.cells, "direction")), group=group, **options)
+    return Result(made.df, (*(d for d in made.dims if d != "direction"), "direction"))
 
 
 @register_stat("statdir")
 def statdir(frame: GridFrame, funcs: Sequence[str], dir_var: str = "dpm", nsector: int = 4, group: str | None = None, **options) -> Result:
-    """Several statistics by sector in one pass, named {variable}_{statistic}."""
+    """Several statistics by sector, named {variable}_{statistic}; plain aggregates share one pass.
+
+    Statistics with dims of their own (quantiles, periods) are to be asked for on their own.
+    """
     variables = tuple(v for v in frame.variables if v != dir_var)
     frame = frame.pick(variables, [dir_var])
 
+    plain = [name for name in funcs if isinstance(get_stat(name), AggregateStat)]
+
     def columns(frame: GridFrame, value, **given):
-        made = {}
-        for name in funcs:
-            stat = get_stat(name)
-            if not isinstance(stat, AggregateStat):
-                raise ValueError(f"statdir takes plain aggregates, not {name!r}")
-            made |= {f"{v}_{name}": c for v, c in stat.columns(frame, value, **given).items()}
-        return made
-
-    return AggregateStat("statdir", columns).by_sector(frame, group, dir_var, nsector, **options)
+        return {f"{v}_{name}": c for name in plain for v, c in get_stat(name).columns(frame, value, **given).items()}
+
+    out = AggregateStat("statdir", columns).by_sector(frame, group, dir_var, nsector, **options) if plain else None
+    for name in funcs:
+        if name in plain:
+            continue
+        made = in_sectors(frame, get_stat(name), group, dir_var, nsector, **options)
+        made = made.rename({v: f"{v}_{name}" for v in made.variables})
+        if out is None:
+            out = made
+        elif made.dims == out.dims:
+            out = Result(out.df.join(made.df, list(out.dims), "full_outer"), out.dims)
+        else:
+            raise ValueError(f"{name!r} gives results over {made.dims}, the others over {out.dims}; make it a call of its own")
+    return out
 
 
 @register_stat("modal_direction")

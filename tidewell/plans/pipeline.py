@@ -19,7 +19,7 @@ from tidewell import functions, operators, sources  # noqa: F401 - registration
 from tidewell.model import GridFrame, Result, ResultSet
 from tidewell.operators.base import AggregateStat
 from tidewell.operators.directional import in_sectors
-from tidewell.plans.config import Call, Derived, PipelineConfig, Source
+from tidewell.plans.config import Call, PipelineConfig, parse
 from tidewell.plans.output import describe, finish, global_attributes
 from tidewell.registry import get_derived, get_loader, get_stat
 from tidewell.sources import sinks
@@ -27,7 +27,17 @@ from tidewell.sources import sinks
 log = logging.getLogger(__name__)
 
 
-def derive(frame: GridFrame, wanted: list[Derived]) -> GridFrame:
+def derived_of(given: str | dict[str, Any]) -> tuple[str, str, dict[str, Any]]:
+    """Name, function and inputs of a derived variable; one word stands for both name and function."""
+    if isinstance(given, str):
+        return given, given, {}
+    name, func = given.get("name"), given.get("func")
+    if not (name or func):
+        raise ValueError(f"a derived variable needs a name or a func: {given}")
+    return name or func, func or name, {k: v for k, v in given.items() if k not in ("name", "func")}
+
+
+def derive(frame: GridFrame, wanted: list[str | dict[str, Any]]) -> GridFrame:
     """Add derived variables in order, so later ones may use earlier ones.
 
     An input that is a string and names a column is that column; by default the column has
@@ -35,19 +45,19 @@ def derive(frame: GridFrame, wanted: list[Derived]) -> GridFrame:
     """
     import inspect
 
-    for item in wanted:
-        function = get_derived(item.func)
+    for new, func, inputs in map(derived_of, wanted):
+        function = get_derived(func)
         given: dict[str, Any] = {}
         for name, parameter in inspect.signature(function).parameters.items():
-            value = item.inputs.get(name, name if parameter.default is inspect.Parameter.empty else parameter.default)
+            value = inputs.get(name, name if parameter.default is inspect.Parameter.empty else parameter.default)
             if isinstance(value, str) and value in frame.df.columns:
                 value = frame.number(value) if value in frame.variables else F.col(value)
             elif parameter.default is inspect.Parameter.empty and isinstance(value, str):
-                raise ValueError(f"{item.name}: no variable {value!r} for input {name!r}")
+                raise ValueError(f"{new}: no variable {value!r} for input {name!r}")
             given[name] = value
         made: Column = function(**given)
-        variables = (*(v for v in frame.variables if v != item.name), item.name)
-        frame = frame.with_df(frame.df.withColumn(item.name, made), variables=variables)
+        variables = (*(v for v in frame.variables if v != new), new)
+        frame = frame.with_df(frame.df.withColumn(new, made), variables=variables)
     return frame
 
 
@@ -68,12 +78,12 @@ class Planned:
     @property
     def fusible(self) -> bool:
         duration = self.call.options.get("duration", "0h")
-        return isinstance(self.stat, AggregateStat) and not self.call.nsector and not self.call.tiles and duration in ("0h", 0)
+        return isinstance(self.stat, AggregateStat) and not self.call.tiles and duration in ("0h", 0)
 
     @property
     def key(self) -> str:
         c = self.call
-        return json.dumps([c.dim, c.group, [d.model_dump() for d in c.derived_vars]], sort_keys=True, default=str)
+        return json.dumps([c.dim, c.group, c.nsector, c.dir_var if c.nsector else None, c.derived_vars], sort_keys=True, default=str)
 
 
 class Pipeline:
@@ -85,16 +95,16 @@ class Pipeline:
 
     @classmethod
     def from_yaml(cls, path: str | Path, spark: SparkSession | None = None) -> Pipeline:
-        return cls(PipelineConfig.from_yaml(path), spark)
+        return cls(parse(Path(path).read_text()), spark)
 
     @classmethod
     def from_yaml_string(cls, text: str, spark: SparkSession | None = None) -> Pipeline:
-        return cls(PipelineConfig.from_yaml_string(text), spark)
+        return cls(parse(text), spark)
 
     def load(self, dim: str = "time") -> GridFrame:
         if self.config.sources is not None:
             raise NotImplementedError("several sources are not supported yet")
-        source: Source = self.config.source
+        source = self.config.source
         df = get_loader(source.type)().load(self.spark, source)
         cells = getattr(source, "cells", None)
         return GridFrame.of(df, dim, cells)
@@ -107,7 +117,7 @@ class Pipeline:
         if call.data_vars == "all":
             variables = list(frame.variables)
         else:
-            variables = list(dict.fromkeys([*call.data_vars, *(d.name for d in call.derived_vars)]))
+            variables = list(dict.fromkeys([*call.data_vars, *(derived_of(d)[0] for d in call.derived_vars)]))
         frame = frame.pick(variables, [*extra, *(v for v in [call.options.get("weight_var")] if v)])
         if call.chunks or call.tiles:
             dims = [d for d, n in {**call.chunks, **call.tiles}.items() if d in frame.cells and n != -1]
@@ -127,8 +137,9 @@ class Pipeline:
         grids: dict[str, GridFrame] = {}
         planned = []
         for call in self.config.calls:
-            grid = grids.setdefault(call.dim, self.load(call.dim))
-            planned.append(self.plan(call, grid))
+            if call.dim not in grids:
+                grids[call.dim] = self.load(call.dim)
+            planned.append(self.plan(call, grids[call.dim]))
         results, fused = ResultSet(), {}
         for p in planned:
             if p.fusible:
@@ -139,7 +150,7 @@ class Pipeline:
                 if p.key in done:
                     continue
                 done.add(p.key)
-                self._add(results, self._fuse(fused[p.key]), fused[p.key])
+                self._add(results, self._fuse(fused[p.key], grids[p.call.dim]), fused[p.key])
             else:
                 suffix = suffix_of(p.call)
                 made = self.one(p)
@@ -153,11 +164,11 @@ class Pipeline:
         fits = [v for v in p.frame.variables if output == v or output.startswith(f"{v}_")]
         return max(fits, key=len, default=output)
 
-    def _fuse(self, calls: list[Planned]) -> Result:
+    def _fuse(self, calls: list[Planned], grid: GridFrame) -> Result:
         """One aggregation for calls with the same rows and keys."""
         first = calls[0]
         variables = tuple(dict.fromkeys(v for p in calls for v in p.frame.variables))
-        wide = derive(self.load(first.call.dim), first.call.derived_vars) if len(calls) > 1 else first.frame
+        wide = derive(grid, first.call.derived_vars) if len(calls) > 1 else first.frame
         wide = wide.pick(variables, tuple(dict.fromkeys(e for p in calls for e in p.frame.extra)))
 
         def columns(frame: GridFrame, value, **_) -> dict[str, Column]:
@@ -170,7 +181,8 @@ class Pipeline:
                     made[name] = c
             return made
 
-        return AggregateStat("fused", columns)(wide, group=first.call.group)
+        fused, call = AggregateStat("fused", columns), first.call
+        return fused.by_sector(wide, call.group, call.dir_var, call.nsector) if call.nsector else fused(wide, group=call.group)
 
     def _add(self, results: ResultSet, made: Result, calls: list[Planned]) -> None:
         origin = {}
@@ -186,7 +198,7 @@ class Pipeline:
         if source is None:
             return results
         finished = finish(results, source, out.mask)
-        sinks.write(self.spark, finished, out.outfile, global_attributes(source, out.global_attrs), out.append)
+        sinks.write(self.spark, finished, out.outfile, global_attributes(source, out.global_attrs), out.append, out.chunks)
         if out.consolidate and not out.outfile.endswith(".nc"):
             sinks.consolidate(self.spark, out.outfile.rstrip("/"))
         if out.updir:

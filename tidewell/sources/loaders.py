@@ -12,17 +12,23 @@ from tidewell.model import missing_to_null
 from tidewell.registry import register_loader
 from tidewell.sources.netcdf import read_netcdf
 from tidewell.sources.select import prepare
+from tidewell.sources.zarr import read_zarr
 
-#: Engines of gridded formats; but for NetCDF classic, their data is expected as tidy Parquet under the same path.
-GRIDDED = {"zarr", "netcdf4", "h5netcdf", "scipy", "cfgrib"}
-CLASSIC = {"scipy", "netcdf3"}
+#: Engines for NetCDF files, of which the classic format can be read.
+NETCDF = {"scipy", "netcdf3", "netcdf4", "h5netcdf"}
+#: Engines without a reader here.
+ABSENT = {"cfgrib", "rasterio", "pydap", "tiledb"}
 
 
 def read(spark: SparkSession, path: str, engine: str = "parquet", options: dict[str, Any] | None = None) -> DataFrame:
-    if engine in CLASSIC or engine in GRIDDED and path.endswith(".nc"):
+    """A grid as tidy rows: ``zarr``, NetCDF classic, or any format that Spark reads."""
+    if engine == "zarr":
+        return read_zarr(spark, path)
+    if engine in NETCDF:
         return read_netcdf(spark, path)
-    fmt = "parquet" if engine in GRIDDED else engine
-    return spark.read.format(fmt).options(**(options or {})).load(path)
+    if engine in ABSENT:
+        raise ValueError(f"there is no reader for {engine!r}; convert {path} to Zarr, NetCDF classic or Parquet")
+    return spark.read.format(engine).options(**(options or {})).load(path)
 
 
 def _finish(df: DataFrame, config: Any) -> DataFrame:
@@ -36,7 +42,7 @@ def _finish(df: DataFrame, config: Any) -> DataFrame:
 
 @register_loader("xarray")
 class FileLoader:
-    """``urlpath`` in any format that Spark reads; gridded engines read tidy Parquet."""
+    """``urlpath`` as ``engine`` reads it."""
 
     def load(self, spark: SparkSession, config: Any) -> DataFrame:
         return _finish(read(spark, config.urlpath, config.engine, config.open_kwargs), config)
@@ -71,4 +77,5 @@ class CatalogLoader:
         if "catalog" in entry.get("driver", "") or rest:
             return self.resolve(Path(path), rest)
         engine = args.pop("engine", None) or entry.get("driver", "parquet")
-        return path, "parquet" if engine in GRIDDED or engine == "xarray" else engine, args.get("open_kwargs", {})
+        by_name = {".zarr": "zarr", ".nc": "netcdf4"}.get(Path(path.rstrip("/")).suffix, "parquet")
+        return path, {"xarray": by_name, "netcdf": "netcdf4"}.get(engine, engine), args.get("open_kwargs", {})

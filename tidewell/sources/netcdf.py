@@ -152,9 +152,11 @@ def _kind(head: Header, dim: str) -> str:
 def read_netcdf(spark: SparkSession, path: str) -> DataFrame:
     """All files of ``path`` (a file, a folder or a pattern) with the layout of the first."""
     files = spark.read.format("binaryFile").load(path)
-    first = files.orderBy("path").select(F.substring("content", 1, HEADER_BYTES).alias("c")).first()
-    if first is None:
+    # Paths alone are listed and put in order; of one file the header is read.
+    name = files.select("path").orderBy("path").first()
+    if name is None:
         raise FileNotFoundError(path)
+    first = files.where(F.col("path") == name.path).select(F.substring("content", 1, HEADER_BYTES).alias("c")).first()
     head = parse_header(bytes(first.c))
     dims, names = layout(head)
     schema = ", ".join([*(f"`{d}` {_kind(head, d)}" for d in dims), *(f"`{n}` double" for n in names)])

@@ -1,15 +1,17 @@
-"""Writers of results: a store with one Parquet table per variable, or classic NetCDF."""
+"""Writers of results: a Zarr store, a store with one Parquet table per variable, or classic NetCDF."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
 import struct
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.model import ResultSet, named
+from tidewell.sources.zarr import Store, write_zarr
 
 SIDECAR = "attributes.json"
 FILL = 9.96921e36
@@ -43,19 +45,25 @@ def write_store(spark: SparkSession, results: ResultSet, path: str, attrs: dict[
     """One folder ``{path}/{variable}`` per variable, and attributes beside them.
 
     Without ``append`` the store is replaced; with it, variables of the same name are
-    replaced and all others stay.  Variables are written on their own, so writers that
-    add different variables do not meet.
+    replaced and all others stay.  Variables have files of their own, so writers that
+    add different variables do not meet.  Results with the same dims are computed once,
+    as one wide table that is then split and dropped.
     """
     fs, root = _fs(spark, path)
     if not append and fs.exists(root):
         fs.delete(root, True)
     known = _read_json(spark, f"{path}/{SIDECAR}") if append else {}
     variables = dict(known.get("variables", {}))
-    for result in results.values():
-        for name in result.variables:
-            rows = result.df.select(*result.dims, named(name))
-            (rows.orderBy(*result.dims) if result.dims else rows).write.mode("overwrite").parquet(f"{path}/{name}")
-            variables[name] = {"dims": list(result.dims), "attrs": dict(result.df.schema[name].metadata or {})}
+    passing = f"{path}.writing-{uuid.uuid4().hex}"
+    try:
+        for i, result in enumerate(results.values()):
+            (result.df.orderBy(*map(named, result.dims)) if result.dims else result.df).write.parquet(f"{passing}/{i}")
+            wide = spark.read.schema(result.df.schema).parquet(f"{passing}/{i}")
+            for name in result.variables:
+                wide.select(*map(named, result.dims), named(name)).write.mode("overwrite").parquet(f"{path}/{name}")
+                variables[name] = {"dims": list(result.dims), "attrs": dict(result.df.schema[name].metadata or {})}
+    finally:
+        fs.delete(_fs(spark, passing)[1], True)
     _write_bytes(spark, f"{path}/{SIDECAR}", json.dumps({"attrs": attrs, "variables": variables}, indent=1, default=str).encode())
 
 
@@ -68,7 +76,10 @@ def store_info(spark: SparkSession, path: str) -> dict:
 
 
 def consolidate(spark: SparkSession, path: str) -> None:
-    """Rebuild the attribute file from the variables that are there."""
+    """Gather the metadata of a Zarr store, or rebuild the attribute file from the variables that are there."""
+    if (zarr := Store(spark, path)).exists(".zgroup"):
+        zarr.consolidate()
+        return
     info = store_info(spark, path)
     fs, root = _fs(spark, path)
     there = {s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()}
@@ -144,18 +155,21 @@ def write_netcdf(spark: SparkSession, results: ResultSet, path: str, attrs: dict
     head += _attributes(attrs) + struct.pack(">II", 11, len(found))
     entries = [_name(v) + struct.pack(">I", len(dims)) + b"".join(struct.pack(">I", order[d]) for d in dims) + _attributes(extra) + struct.pack(">II", 6, a.size * 8) for v, dims, extra, a in found]
     begin = len(head) + sum(len(e) + 8 for e in entries)
-    body = b""
+    bodies = []
     for e, (_, _, _, a) in zip(entries, found, strict=True):
-        head += e + struct.pack(">Q", begin + len(body))
-        body += a.astype(">f8").tobytes()
-    _write_bytes(spark, path, head + body)
+        head += e + struct.pack(">Q", begin)
+        bodies.append(a.astype(">f8").tobytes())
+        begin += len(bodies[-1])
+    _write_bytes(spark, path, b"".join([head, *bodies]))
 
 
-def write(spark: SparkSession, results: ResultSet, path: str, attrs: dict[str, Any], append: bool = False) -> None:
-    """By extension: ``.nc`` is a NetCDF file, ``.zarr`` and ``.parquet`` a store of Parquet tables."""
+def write(spark: SparkSession, results: ResultSet, path: str, attrs: dict[str, Any], append: bool = False, chunks: dict[str, int] | None = None) -> None:
+    """By extension: ``.nc`` is a NetCDF file, ``.zarr`` a Zarr store, ``.parquet`` a store of Parquet tables."""
     if path.endswith(".nc"):
         write_netcdf(spark, results, path, attrs)
-    elif path.rstrip("/").endswith((".zarr", ".parquet")):
+    elif path.rstrip("/").endswith(".zarr"):
+        write_zarr(spark, results, path.rstrip("/"), attrs, append, chunks)
+    elif path.rstrip("/").endswith(".parquet"):
         write_store(spark, results, path.rstrip("/"), attrs, append)
     else:
         raise ValueError(f"cannot tell the format of {path!r}; use .nc, .zarr or .parquet")
