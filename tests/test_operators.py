@@ -13,7 +13,6 @@ from tidewell.operators import kernels
 from tidewell.operators.binning import bin_index, edges_of
 from tidewell.operators.directional import in_sectors
 from tidewell.operators.exceedance import hours
-from tidewell.plans.config import Derived
 from tidewell.plans.pipeline import derive
 from tidewell.registry import get_derived, get_stat, list_derived, list_loaders, list_stats, load_plugins, register_derived
 
@@ -160,15 +159,15 @@ def test_wind_power(spark):
 
 def test_douglas_bounds(spark):
     heights = [None, 0, 0.1, 0.11, 0.5, 1.25, 2.5, 4, 6, 9, 14, 14.01]
-    g = derive(grid(spark, {"hs_sea": heights}), [Derived(name="d", func="douglas_sea")])
+    g = derive(grid(spark, {"hs_sea": heights}), [dict(name="d", func="douglas_sea")])
     assert [r.d for r in g.df.orderBy("time").collect()] == [0, 0, 1, 2, 2, 3, 4, 5, 6, 7, 8, 9]
-    g = derive(grid(spark, {"hs_sw1": [0, 1, 1, 3, 3, 3, 5, 5, 5, None], "lp_sw1": [50, 150, 201, 100, 200, 201, 100, 200, 300, 5]}), [Derived(name="d", func="douglas_swell")])
+    g = derive(grid(spark, {"hs_sw1": [0, 1, 1, 3, 3, 3, 5, 5, 5, None], "lp_sw1": [50, 150, 201, 100, 200, 201, 100, 200, 300, 5]}), [dict(name="d", func="douglas_swell")])
     assert [r.d for r in g.df.orderBy("time").collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 0]
 
 
 def test_crossing_seas_needs_more_than_the_bounds(spark):
     g = grid(spark, {"hs": [2, 2, 0.5, 2], "hs_sea": [1, 1, 1, 1], "hs_sw1": [1, 1, 1, 0.5], "dir_sea": [350, 350, 350, 350], "dir_sw1": [30, 31, 31, 31]})
-    g = derive(g, [Derived(name="c", func="crossing_seas")])
+    g = derive(g, [dict(name="c", func="crossing_seas")])
     assert [r.c for r in g.df.orderBy("time").collect()] == [False, True, False, False]
 
 
@@ -176,7 +175,7 @@ def test_orbital_velocity(spark):
     one = grid(spark, {"hs": [2.0], "tp": [10.0], "dry": [-1.0]})
 
     def value(**inputs):
-        return derive(one, [Derived(name="u", func="uorb", **inputs)]).df.first().u
+        return derive(one, [dict(name="u", func="uorb", **inputs)]).df.first().u
 
     k = (2 * math.pi / 10) ** 2 / 9.81
     for _ in range(200):
@@ -198,6 +197,17 @@ def test_quantile_methods(spark):
     assert {m: only(get_stat("quantile")(g, q=0.5, method=m), "x") for m in want} == want
 
 
+def test_statdir_takes_any_statistic(spark):
+    g = grid(spark, {"x": [1, 1, 2, 9, 9, 8, None, 5], "dpm": [0, 10, 350, 180, 170, 190, 0, 90]})
+    out = get_stat("statdir")(g, funcs=["mean", "modal_direction"], nsector=2)
+    assert out.dims == ("cell", "direction") and set(out.variables) == {"x_mean", "x_modal_direction"}
+    alone = get_stat("modal_direction")(g.with_df(g.df.where("dpm BETWEEN 90 AND 269")).pick(["x"]))
+    rows = {r.direction: r for r in out.df.collect()}
+    assert rows[180.0].x_modal_direction == only(alone, "x") and rows[0.0].x_mean == pytest.approx(4 / 3)
+    with pytest.raises(ValueError, match="call of its own"):
+        get_stat("statdir")(g, funcs=["mean", "quantile"], nsector=2, q=[0.5])
+
+
 def test_statdir_names(spark):
     g = grid(spark, {"hs": [1, 3], "dpm": [0, 0]})
     out = get_stat("statdir")(g, funcs=["mean", "max"], nsector=2)

@@ -6,7 +6,6 @@ and embeddings as series.  Doubles are rounded on both sides.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewell import functions, operators  # noqa: F401 - registration
 from tidewell.model import GridFrame, Result, named
 from tidewell.operators.directional import in_sectors
-from tidewell.plans.config import Derived, Mask
+from tidewell.plans.config import Mask
 from tidewell.plans.output import apply_mask, mask_frame
 from tidewell.plans.pipeline import Pipeline, derive
 from tidewell.registry import get_stat
@@ -306,7 +305,7 @@ _INPUTS = ("uwnd", "vwnd", "ucur", "vcur", "fp", "hs", "hs_sea", "hs_sw1", "hs_s
 
 def _derived(name: str, spec: dict, sql: str, digits: int = 6) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frame = derive(shipments(spark, sf_dir, *_INPUTS), [Derived(name="made", **spec)])
+        frame = derive(shipments(spark, sf_dir, *_INPUTS), [dict(name="made", **spec)])
         return rounded(get_stat("mean")(frame.pick(["made"])), digits)
 
     _add(f"derived_{name}", query, f"WITH x AS ({SHIPMENTS}) SELECT l_returnflag, l_linestatus, {sql} AS made FROM x GROUP BY ALL")
@@ -358,15 +357,14 @@ _masked("mask_threshold", {"type": "threshold", "var": "l_extendedprice", "opera
 
 def _pipeline_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared pipeline: three plain statistics of one source run as one aggregation."""
-    with tempfile.TemporaryDirectory() as folder:
-        made = Pipeline(
-            {
-                "source": {"type": "xarray", "urlpath": f"{sf_dir}/lineitem.parquet", "engine": "parquet", "mapping": {"l_shipdate": "time", "l_quantity": "hs"}, "cells": list(CELLS)},
-                "output": {"outfile": f"{folder}/out.zarr"},
-                "calls": [{"func": "mean", "data_vars": ["hs"]}, {"func": "max", "data_vars": ["hs"]}, {"func": "exceedance", "data_vars": ["hs"], "threshold": 25}],
-            },
-            spark,
-        ).compute()[0]
+    made = Pipeline(
+        {
+            "source": {"type": "xarray", "urlpath": f"{sf_dir}/lineitem.parquet", "engine": "parquet", "mapping": {"l_shipdate": "time", "l_quantity": "hs"}, "cells": list(CELLS)},
+            "output": {"outfile": "never-written.zarr"},
+            "calls": [{"func": "mean", "data_vars": ["hs"]}, {"func": "max", "data_vars": ["hs"]}, {"func": "exceedance", "data_vars": ["hs"], "threshold": 25}],
+        },
+        spark,
+    ).compute()[0]
     return rounded(made[CELLS].df)
 
 
@@ -392,5 +390,30 @@ def _hmo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(get_stat("hmo")(vectors(spark, sf_dir), segsec=32, fs=1.0, bands={"low": [None, 0.25], "tot": [None, None]}))
 
 
-_add("rpv", _rpv)
-_add("hmo", _hmo)
+# Peaks over the 90th percentile, thinned from the highest down to 3 days apart; a Gumbel fit by bisection; its upper tail.
+_add("rpv", _rpv, """
+WITH RECURSIVE d AS (SELECT o_orderpriority AS g, date_trunc('day', o_orderdate) AS t, avg(o_totalprice) AS x FROM orders GROUP BY ALL),
+  o AS (SELECT g, x, row_number() OVER w - 1 AS i, lag(x) OVER w AS a, lead(x) OVER w AS b, quantile_cont(x, 0.9) OVER (PARTITION BY g) AS h FROM d WINDOW w AS (PARTITION BY g ORDER BY t)),
+  p AS (SELECT g, i, x, row_number() OVER (PARTITION BY g ORDER BY x DESC, i DESC) AS r FROM o WHERE x > a AND x > b AND x >= h),
+  k AS (SELECT DISTINCT g, 0::BIGINT AS r, []::BIGINT[] AS kept, []::DOUBLE[] AS y FROM d
+    UNION ALL SELECT k.g, p.r, CASE WHEN len(list_filter(kept, lambda q: abs(q - p.i) < 3)) = 0 THEN list_append(kept, p.i) ELSE kept END,
+      CASE WHEN len(list_filter(kept, lambda q: abs(q - p.i) < 3)) = 0 THEN list_append(y, p.x) ELSE y END FROM k JOIN p ON p.g = k.g AND p.r = k.r + 1),
+  f AS (SELECT g, arg_max(y, r) AS y FROM k GROUP BY g),
+  s AS (SELECT g, y, len(y) AS m, list_min(y) AS low, list_avg(y) AS mean, list_aggregate(y, 'stddev_pop') AS sd, (SELECT count(*) FROM d WHERE d.g = f.g) * 24 / 8760.0::DOUBLE AS years FROM f),
+  b AS (SELECT g, 0 AS n, sd * 1e-3::DOUBLE AS lo, sd * 10 AS hi FROM s WHERE m > 1
+    UNION ALL SELECT g, n + 1, CASE WHEN gap > 0 THEN mid ELSE lo END, CASE WHEN gap > 0 THEN hi ELSE mid END FROM (
+      SELECT b.g, n, lo, hi, (lo + hi) / 2 AS mid, mean - list_sum(list_transform(y, lambda v: v * exp(-(v - low) / ((lo + hi) / 2)))) / list_sum(list_transform(y, lambda v: exp(-(v - low) / ((lo + hi) / 2)))) - (lo + hi) / 2 AS gap
+      FROM b JOIN s ON s.g = b.g WHERE n < 200)),
+  e AS (SELECT s.*, (lo + hi) / 2 AS scale FROM s LEFT JOIN b ON b.g = s.g AND b.n = 200),
+  l AS (SELECT *, low - scale * ln(list_avg(list_transform(y, lambda v: exp(-(v - low) / scale)))) AS loc FROM e)
+SELECT g AS o_orderpriority, period::DOUBLE AS period, round(loc - scale * ln(-ln(1 - least(years / (period * m), 1))), 3) AS o_totalprice FROM l, (VALUES (1), (10), (100)) AS t(period)
+""")
+# Half-overlapping Hann segments of 32, a discrete Fourier transform written out, Simpson's rule over 8 and 16 steps of 1/32.
+_add("hmo", _hmo, """
+WITH v AS (SELECT vec_id, len(embedding) AS n, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS t FROM embeddings),
+  s AS (SELECT vec_id, s, t - 16 * s AS i, (x - avg(x) OVER (PARTITION BY vec_id, s)) * (0.5 - 0.5 * cos(2 * pi() * (t - 16 * s) / 32)) AS x FROM v, range(0, 100) AS r(s) WHERE t BETWEEN 16 * s AND 16 * s + 31 AND 16 * s + 32 <= n),
+  f AS (SELECT vec_id, s, k, pow(sum(x * cos(2 * pi() * k * i / 32)), 2) + pow(sum(x * sin(2 * pi() * k * i / 32)), 2) AS p FROM s, range(0, 17) AS q(k) GROUP BY ALL),
+  d AS (SELECT vec_id, k, avg(p) / 12 * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END AS p FROM f GROUP BY vec_id, k),
+  b AS (SELECT * FROM (VALUES ('low', 8), ('tot', 16)) AS t(band, top))
+SELECT vec_id, band, round(4 * sqrt(sum(p * CASE WHEN k IN (0, top) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) / 96), 6) AS hs_x FROM d JOIN b ON k <= top GROUP BY vec_id, band
+""")
