@@ -138,3 +138,27 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, empty, "").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame([(1, "a b", "en", "s", 3)], docs.schema), "").first()
     assert last.mix_file is None and last.n_tokens == 2
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
+def test_stages_with_nulls_repeats_and_clashing_columns(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from test_text_operators import GERMAN, words
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, words(GERMAN, 40, 1), "de", "a", 1), (1, words(GERMAN, 40, 2), "de", None, None), (None, words(GERMAN, 40, 3), None, "a", 1), (2, None, None, None, None), (3, "", "de", "a", 0), (4, words(GERMAN, 40, 1), "de", "b", 1), (4, words(GERMAN, 40, 1), "de", "b", 1)]
+    extra = {c: F.lit(i) for i, c in enumerate(("_w", "_at", "_hit", "c0", "lang_pred", "score", "alike", "keep_id", "n", "rep", "node", "_sha", "q", "slots", "at", "mix_slot_"))}
+    docs = spark.createDataFrame(rows, schema).withColumns(extra)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        kept[name] = sorted((r.doc_id or 0, r.text or "", r.lang or "") for r in out.collect())
+        assert all(r.lang_pred == 4 and r.n == 8 for r in out.collect())
+    everything = sorted((r[0] or 0, r[1] or "", r[2] or "") for r in rows)
+    named = sorted((i, t, x or "de") for i, t, x in everything if t)
+    assert kept["language_id"] == named and kept["mixing"] == everything
+    first = [(0, rows[2][1], ""), (1, rows[0][1], "de"), (1, rows[1][1], "de"), (2, "", "")]
+    assert kept["exact_dedup"] == sorted(first)
+    assert kept["minhash_dedup"] == sorted([*first, (3, "", "de")])
