@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidewell.plans  # noqa: F401 - registration
+from tidewell.functions.orbital import wavenumber_exact
 from tidewell.model import GridFrame
 from tidewell.operators import kernels
 from tidewell.operators.binning import bin_index, edges_of
@@ -191,6 +192,17 @@ def test_orbital_velocity(spark):
         value(depth=25, reference="sky")
 
 
+def test_exact_wavenumber_from_shallow_to_deep_water(spark):
+    ys = [10.0**e for e in np.arange(-6, 3.01, 0.05)]
+    rows = spark.createDataFrame([(i, y) for i, y in enumerate(ys)], "i int, y double")
+    got = rows.select("i", wavenumber_exact(F.sqrt("y"), F.lit(1.0), 1.0).alias("x")).orderBy("i").toPandas()["x"]
+    x, y = np.maximum(np.array(ys), np.sqrt(ys)), np.array(ys)
+    for _ in range(100):
+        t = np.tanh(x)
+        x = x - (x * t - y) / (t + x * (1 - t * t))
+    assert np.abs(got / x - 1).max() < 1e-10
+
+
 def test_quantile_methods(spark):
     g = grid(spark, {"x": [1, 2, 3, 4]})
     want = {"linear": 2.5, "lower": 2, "higher": 3, "midpoint": 2.5}
